@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_bpe
+from . import minhash_dedup, pii, quality_rules, sentencepiece_bpe
 from .common import read_table
 
 
@@ -20,6 +20,23 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), values=False)
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece}
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"), redacted=False)
+
+
+QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_pii": op10_pii,
+}
 
 ORACLES: dict[str, str] = {}
