@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df once to the shared folder and returns the written table: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +50,7 @@ def per_text(df: DataFrame, keys: list[str], text: str, schema: str, work: Calla
                 cols = [part.batch.column(k) for k in keys] + work(part)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cols = df.select(*[f"`{k}`" for k in keys], f"`{text}`")
+    cols = df.select(*[f"`{k}`" for k in dict.fromkeys([*keys, text])])
     names = keys + [x.strip().split()[0].strip("`") for x in _fields(schema)[len(keys) :]]
     return cols.mapInArrow(run, schema)
 
@@ -104,6 +104,11 @@ def text_slices(batch: pa.RecordBatch, text: str, budget: int = SLICE_BYTES) ->
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: True at all of ASCII but digits and letters.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[:128] = True
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
 #: Maps A-Z to a-z and leaves all other bytes.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -14,18 +14,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import TextSlice, per_text
+from .units import UnitCache
 
 SPACE_MARK = "▁"
 NONE = np.int64(1 << 40)
-#: Units kept per worker between slices; when full, the memory starts anew.
-CACHE_UNITS = 300_000
 _UNIT = re.compile(r" *[^ ]+| +")
 _loaded: dict[str, PieceModel] = {}
 
@@ -75,13 +73,7 @@ class PieceModel:
         # Pieces of equal rank could take turns; they merge one at a time.
         spread = np.bincount(list(rank.values()))
         self.calm[[i for i in plain if spread[rank[i]] > 1]] = False
-        self.cache: dict[str, int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.cache.clear()
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.at, self.count = np.zeros(CACHE_UNITS + 1, np.int64), 0
+        self.units = UnitCache(lambda units: self.merge([SPACE_MARK + u.replace(" ", SPACE_MARK) for u in units]))
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.width + right
@@ -157,38 +149,8 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with begin and end ids, and texts + 1 offsets."""
-        rows = [units_of(t) for t in texts]
-        if self.count > CACHE_UNITS // 2:
-            self.forget()
-        cache = self.cache
-        fresh = [u for u in dict.fromkeys(chain.from_iterable(rows)) if u not in cache]
-        if self.count + len(fresh) > CACHE_UNITS:
-            self.forget()
-            fresh = list(dict.fromkeys(chain.from_iterable(rows)))
-        if fresh:
-            flat, at = self.merge([SPACE_MARK + u.replace(" ", SPACE_MARK) for u in fresh])
-            need = self.used + len(flat)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.empty(need, np.int32)])
-            self.flat[self.used : need] = flat
-            if self.count + len(fresh) >= len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(len(fresh), np.int64)])
-            self.at[self.count : self.count + len(fresh) + 1] = self.used + at
-            cache.update(zip(fresh, range(self.count, self.count + len(fresh)), strict=True))
-            self.used, self.count = need, self.count + len(fresh)
-        per_row = np.fromiter(map(len, rows), np.int64, len(rows))
-        which = np.fromiter(map(cache.__getitem__, chain.from_iterable(rows)), np.int64, int(per_row.sum()))
-        begin, size = self.at[which], self.at[which + 1] - self.at[which]
-        row_of = np.repeat(np.arange(len(rows)), per_row)
-        tokens = np.bincount(row_of, weights=size, minlength=len(rows)).astype(np.int64)
-        offsets = np.r_[0, np.cumsum(tokens + 2)]
-        out = np.empty(int(offsets[-1]), np.int32)
+        out, offsets = self.units([units_of(t) for t in texts], 1, 1)
         out[offsets[:-1]], out[offsets[1:] - 1] = self.bos, self.eos
-        if len(which):
-            # A unit lands after its row's begin id and the ends and begins of the rows before it.
-            to = np.cumsum(size) - size + 1 + 2 * row_of
-            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            out[np.repeat(to, size) + step] = self.flat[np.repeat(begin, size) + step]
         return out, offsets
 
     def decode(self, ids: list[list[int]]) -> list[str]:
