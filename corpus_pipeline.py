@@ -1,12 +1,63 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, personal data, SentencePiece ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, minhash_dedup, pii, quality_rules, sentencepiece_bpe
+from quarry.llm.common import materialise, read_table
+from quarry.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates: five-word shingles, a similarity of 0.8.
+
+    Of rows with one doc_id one stays; rows with a null doc_id all stay.
+    """
+    dropped = minhash_dedup.near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a tag in the place of personal data; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded) of each document."""
+    return sentencepiece_bpe.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_free),
+    ("personal data", personal_data),
+    ("SentencePiece", encode),
+]
 
-STAGES: list = []
+#: SentencePiece ids and fitted cutoffs have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that numpy code works on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 21
@@ -41,8 +43,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def per_text(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable) -> DataFrame:
     """Runs work(TextSlice) -> list of Arrow columns over slices of df; keys pass through in front of them."""
-    out = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = ", ".join(x for x in (out, schema) if x)
+    added = StructType.fromDDL(schema)
+    out = StructType([df.schema[k] for k in keys] + added.fields)
+    names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,19 +53,7 @@ def per_text(df: DataFrame, keys: list[str], text: str, schema: str, work: Calla
                 cols = [part.batch.column(k) for k in keys] + work(part)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cols = df.select(*[f"`{k}`" for k in dict.fromkeys([*keys, text])])
-    names = keys + [x.strip().split()[0].strip("`") for x in _fields(schema)[len(keys) :]]
-    return cols.mapInArrow(run, schema)
-
-
-def _fields(schema: str) -> list[str]:
-    parts, depth, last = [], 0, 0
-    for i, ch in enumerate(schema):
-        depth += (ch in "<(") - (ch in ">)")
-        if ch == "," and not depth:
-            parts.append(schema[last:i])
-            last = i + 1
-    return parts + [schema[last:]]
+    return df.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*keys, text])]).mapInArrow(run, out)
 
 
 class TextSlice:

@@ -185,10 +185,10 @@ with w as (
   from {table}),
 phrase(p, n, label) as (values {phrases}),
 place as (
-  select r, i.at as at, label from w, phrase,
-    lateral (select unnest(range(0, len(words))) as at) i
-  where array_to_string(words[i.at + 1 : i.at + n], ' ') = p),
-base as (select r, count(*) as n_base, min(at) as first_word, max(at) as last_word, list(distinct label) as own from place group by r),
+  select r, i.spot as spot, label from w, phrase,
+    lateral (select unnest(range(0, len(words))) as spot) i
+  where array_to_string(words[i.spot + 1 : i.spot + n], ' ') = p),
+base as (select r, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list(distinct label) as own from place group by r),
 template(t, label, body) as (values {templates}),
 block as (
   select r, list_distinct(words[b * {STEP} + 1 : b * {STEP} + {BLOCK}]) as held

@@ -13,6 +13,7 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import TextSlice, per_text
 
@@ -222,3 +223,21 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return per_text(docs, [key], text, schema + ", redacted string" * redacted, work)
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows and columns of docs, with a tag in the place of each personal datum in text; a null text stays null."""
+
+    def work(part: TextSlice) -> list[pa.Array]:
+        clean = []
+        for t, is_null in zip(part.strings, part.batch.column(text).is_null().to_pylist(), strict=True):
+            base = plain_spans(t)
+            clean.append(None if is_null else _redacted(t, sorted(set(base + disguised_spans(t, base)), key=_place)))
+        return [pa.array(clean, pa.string())]
+
+    name = "redacted"
+    while name in docs.columns:
+        name = "_" + name
+    others = [c for c in docs.columns if c != text]
+    done = per_text(docs, others, text, f"{name} string", work)
+    return done.select(*[F.col(f"`{name}`").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, TextSlice, materialise, mix, per_text, word_hashes, words
@@ -72,8 +72,11 @@ def text_features(part: TextSlice) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(key, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, badness) of each row.
+_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def features(docs: DataFrame, keys: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """keys, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and badness of each row.
 
     badness is in steps: the largest of the shares of symbols among characters (doubled), of repeated lines among
     lines and of repeated words among words.
@@ -85,11 +88,10 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
         badness = np.maximum.reduce([2 * share(f["n_symbols"], f["word_chars"]), share(f["n_dup_lines"], f["n_lines"]), share(f["n_repeat_words"], f["n_words"])])
         failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
         steps = np.minimum(np.floor(badness * STEPS), STEPS).astype(np.int32)
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return [*(pa.array(f[n]) for n in names), pa.array(failed), pa.array(steps)]
+        return [*(pa.array(f[n]) for n in _FEATURES), pa.array(failed), pa.array(steps)]
 
-    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, badness int"
-    return per_text(docs, [key, stratum], text, schema, work)
+    schema = ", ".join([*(f"{prefix}{n} long" for n in _FEATURES), f"{prefix}base_failed boolean", f"{prefix}badness int"])
+    return per_text(docs, keys, text, schema, work)
 
 
 def upper_bound(bad: int, n: int, error: float) -> float:
@@ -133,6 +135,14 @@ def cutoffs(found: DataFrame, labels: DataFrame, key: str, stratum: str, strata:
     return {s: v for s, v in levels.items() if v is not None}
 
 
+def _verdict(limits: dict[str | None, int], stratum: str, strata: tuple[str, ...], prefix: str = "") -> tuple[Column, Column]:
+    """The cutoff of a row's stratum, and whether the row is kept."""
+    limit = F.lit(limits.get(None)).cast("int")
+    for s in strata:
+        limit = F.when(F.col(f"`{stratum}`") == s, F.lit(limits.get(s)).cast("int")).otherwise(limit)
+    return limit, ~F.col(f"{prefix}base_failed") & ~F.coalesce(F.col(f"{prefix}badness") > limit, F.lit(False))
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", strata: tuple[str, ...] = STRATA, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, badness, cutoff).
 
@@ -142,11 +152,20 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     quality 1 count, each document once; rows with nulls don't. Empty labels give no cutoffs. Repeated rows and null
     keys pass through; a null stratum counts with those that are not in strata. Other columns are not read.
     """
-    found = materialise(features(docs, key, text, stratum), "features")
+    found = materialise(features(docs, [key, stratum], text), "features")
+    limit, kept = _verdict(cutoffs(found, labels, key, stratum, strata, max_risk, error), stratum, strata)
+    return found.select(key, *_FEATURES, "base_failed", kept.alias("kept"), "badness", limit.alias("cutoff"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", strata: tuple[str, ...] = STRATA, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns.
+
+    The features are counted twice, for the cutoffs and beside the rows, which costs less than to shuffle all texts.
+    """
+    found = materialise(features(docs, [key, stratum], text), "features")
     limits = cutoffs(found, labels, key, stratum, strata, max_risk, error)
-    limit = F.lit(limits.get(None)).cast("int")
-    for s in strata:
-        limit = F.when(F.col(stratum) == s, F.lit(limits.get(s)).cast("int")).otherwise(limit)
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("badness") > F.col("cutoff"), F.lit(False))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return found.withColumn("cutoff", limit).select(key, *names, kept.alias("kept"), "badness", "cutoff")
+    prefix = "quality_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    _, kept = _verdict(limits, stratum, strata, prefix)
+    return features(docs, docs.columns, text, prefix).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman_ids, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_bpe, token_counts, toxicity
+from . import decontaminate, huffman_ids, license_scan, lm_score, minhash_dedup, pii, quality_rules, sentencepiece_bpe, token_counts, toxicity
 from .common import read_table
 
 
@@ -33,6 +33,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_score": op5_lm_score,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
