@@ -1,16 +1,16 @@
 """MinHash near-dedup with odd sketches.
 
 Each document's distinct word shingles give MinHash samples. Groups of samples are the keys of bands, in which
-candidates meet; parity bitmaps of all samples (odd sketches) estimate each candidate pair's similarity from the
-population count of an XOR; what may reach the threshold is confirmed on the full sets of words.
+candidates meet; parity bitmaps of all samples (odd sketches) estimate the similarity of candidates from the
+population count of an XOR; what may be linked is confirmed on the full sets.
 
-With 36 bands of 5 samples a pair at the threshold of 0.8 fails to meet with a probability below 1e-6, and the
-sketch, which only drops pairs estimated 0.2 under the threshold, drops it with one below 1e-7.
+With 36 bands of 5 samples a pair at the threshold of 0.8 fails to meet with a probability below 1e-6.
 
-Equal sets are one class from the start. In a band, candidates are first compared with one leader only; then those
-that it didn't bring together with leaders that differ by band; last, members that still lie in different components
-with each other. So a group of thousands of near copies never emits all its pairs, and no link between two
-components is left out.
+Members of a band's bucket are compared with its leader first. All links of one that the sketch puts close to it lead
+to members not too far from it, as Jaccard's distance is a metric: these form the leader's canopy. A leader's canopy is
+the same in all bands, so it is confirmed once. Those that aren't close are then compared with each other in their
+buckets. Both are done in blocks of bounded size that multiply 0/1 matrices and only give links that join components:
+a group of thousands of near copies never emits its pairs, and no link that joins components is left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, TextSlice, materialise, mix, per_text, shingle_hashes, word_hashes, words
@@ -32,6 +32,9 @@ _MUL = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.u
 _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SALT = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 _ROWS_AT_ONCE = 2048
+#: Documents of a canopy that are compared in one task, about; a hash deals them out.
+BLOCK = 512
+_COLUMNS = 4096
 
 
 def minhash(items: np.ndarray) -> np.ndarray:
@@ -75,43 +78,139 @@ def signatures(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "
     return per_text(docs, [key], text, "n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>", work)
 
 
-def _may_link(percent: int) -> Column:
-    """Whether sizes and odd sketches of x and y leave room for the threshold."""
-    odd = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(BITS // 64))
-    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    return F.expr(f"{sizes} and {odd} <= {most_odd_bits(percent / 100 - 0.2)}")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two lists of sorted sets."""
+    _, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    total = np.zeros((len(left), len(right)), np.float64)
+    cuts, sides = np.r_[0, np.cumsum([len(x) for x in [*left, *right]])], []
+    for n, first in ((len(left), 0), (len(right), len(left))):
+        at = place[cuts[first] : cuts[first + n]]
+        row = np.repeat(np.arange(n), np.diff(cuts[first : first + n + 1]))
+        by = np.argsort(at, kind="stable")
+        sides.append((at[by], row[by], n))
+    # So many shingles at once that the matrices stay small.
+    for low in range(0, int(place.max()) + 1 if len(place) else 0, _COLUMNS):
+        dense = []
+        for at, row, n in sides:
+            a, b = np.searchsorted(at, (low, low + _COLUMNS))
+            m = np.zeros((n, _COLUMNS), np.float32)
+            m[row[a:b], at[a:b] - low] = 1
+            dense.append(m)
+        total += dense[0] @ dense[1].T
+    return total.astype(np.int64)
+
+
+def _forest(nodes: list[int], pairs: np.ndarray, labels: list[int]) -> list[tuple[int, int]]:
+    """Those of the links (places in nodes) that join different components, which start as labels."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _linker(percent: int):
+    """Links of a group (side, node, label, items): among side 0, and between it and side 1."""
+
+    def links(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side = group.column("side").to_numpy()
+        node, label = group.column("node").to_pylist(), group.column("label").to_pylist()
+        lists = group.column("items").chunk(0) if group.num_rows else pa.array([], pa.list_(pa.int64()))
+        at = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()
+        sets = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        rows = np.flatnonzero(side == 0)
+        columns = np.flatnonzero(side == 1) if (side == 1).any() else rows
+        n = np.diff(at).astype(np.int64)
+        both = shared_counts([sets[i] for i in rows], [sets[i] for i in columns])
+        good = np.argwhere(100 * both >= percent * (n[rows][:, None] + n[columns][None, :] - both))
+        found = _forest(node, np.stack([rows[good[:, 0]], columns[good[:, 1]]], axis=1), label)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return links
+
+
+def item_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, items): the sorted hashes of each text's distinct shingles."""
 
+    def work(part: TextSlice) -> list[pa.Array]:
+        data, at = part.flat()
+        data = LOWER[data]
+        starts, ends, bounds = words(data, at)
+        sets = shingle_hashes(word_hashes(data, starts, ends), bounds, shingle)
+        offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+        # Sorted as the signed numbers that Arrow and Spark hold.
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.sort(s.view(np.int64)) for s in sets])))]
+
+    return per_text(docs, ["node"], "text", "items array<long>", work)
 
-def shingle_set(text: str, k: int) -> set:
-    """The distinct k-word shingles of a text as tuples of lower-cased words."""
-    w = text.encode().lower().split()
-    if len(w) < k:
-        return {tuple(w)} if w else set()
-    return set(zip(*(w[i:] for i in range(k)), strict=False))
 
+def _meet(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The canopies (leader, node) of the leaders of all buckets, leaders included, and the rows of members
+    (bucket, node, sketch) that aren't close to their leader, so that their links may lie outside its canopy."""
+    step = 1 - percent / 100
+    tight, loose = most_odd_bits(1 - 2 * step + 0.05), most_odd_bits(max(1 - 3 * step - 0.15, 0.05))
+    odd = F.expr(" + ".join(f"bit_count(sketch[{i}] ^ s.sketch[{i}])" for i in range(BITS // 64)))
+    leaders = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "sketch")).alias("s"))
+    met = materialise(members.join(leaders, "bucket").select("bucket", "node", F.col("s.node").alias("leader"), odd.alias("odd")), "met")
+    groups = met.where(f"odd <= {loose}").select("leader", "node").distinct()  # a leader is close to itself
+    return materialise(groups, "canopies"), met.where(f"odd > {tight}").select("bucket", "node")
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
 
-    def run(batches):
-        last: dict = {}
-        for batch in batches:
-            good = []
-            for i, (a, b, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)):
-                sets = []
-                for name, t in ((a, ta), (b, tb)):
-                    if last.get(name, ("",))[0] != t:
-                        if len(last) >= 64:
-                            last.clear()
-                        last[name] = (t, shingle_set(t, k))
-                    sets.append(last[name][1])
-                both = len(sets[0] & sets[1])
-                if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+def _links(groups: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever is linked within a group, of groups (part, node).
 
-    t = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    return pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    links: known ones. A part of up to about BLOCK members is compared in one task. A larger one is dealt into
+    blocks; then what isn't in its largest component yet is compared with all of it, block by block.
+    """
+    schema = "a long, b long"
+
+    def labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        if known is None:
+            return rows.withColumn("label", F.col("node"))
+        return rows.join(components(known), "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("label"))
+
+    sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    placed = groups.join(sizes, "part").select("part", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
+    first = labelled(placed, links).join(sets, "node").select("part", "block", "side", "node", "label", "items")
+    found = materialise(first.groupBy("part", "block").applyInArrow(_linker(percent), schema), "links")
+    found = found if links is None else links.union(found)
+    large = materialise(groups.join(sizes.where("blocks > 1").select("part"), "part", "left_semi"), "large")
+    if large.isEmpty():
+        return found
+    large = materialise(labelled(large, found), "labelled")
+    core = large.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("out"))
+    core = core.where("out > 0").select("part", "core", F.ceil(F.col("n") / BLOCK).alias("wide"), F.ceil(F.col("out") / BLOCK).alias("high"))
+    known = large.join(core, "part")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    out = known.where("label != core").select("part", spot("high").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"), "node", "label")
+    whole = known.select("part", every("high").alias("i"), spot("wide").alias("j"), F.lit(1).alias("side"), "node", "label")
+    second = out.union(whole).join(sets, "node").select("part", "i", "j", "side", "node", "label", "items")
+    return found.union(materialise(second.groupBy("part", "i", "j").applyInArrow(_linker(percent), schema), "links"))
+
+
+def _all_links(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever members (bucket, node, sketch) are linked; texts: (node, text)."""
+    groups, far = _meet(members, percent)
+    wanted = groups.select("node").union(groups.select("leader")).union(far.select("node")).distinct()
+    sets = materialise(item_sets(texts.where("text is not null").join(wanted, "node", "left_semi"), shingle).distinct(), "sets")
+    links = _links(groups.withColumnRenamed("leader", "part"), None, sets, percent)
+    # Those far from their leader are compared with each other, in buckets where that can still join components.
+    rest = materialise(far.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label")), "far")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    rest = materialise(rest.join(mixed, "bucket", "left_semi").select(F.col("bucket").alias("part"), "node"), "far")
+    return _links(rest, links, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,38 +237,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
         ),
         "classes",
     )
-    reps = rows.where("bands is not null").select("node", F.col("n_shingles").alias("n"), "sketch", "bands")
-    keyed = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
+    keyed = rows.where("bands is not null").select("node", "sketch", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    members = materialise(keyed.join(shared, "bucket"), "members")
-    slim = reps.select("node", "n", "sketch")
-
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among candidate pairs (a, b)."""
-        near = pairs.distinct().join(slim.withColumnRenamed("node", "a").alias("x"), "a").join(slim.withColumnRenamed("node", "b").alias("y"), "b").where(_may_link(percent)).select("a", "b")
-        near = materialise(near, name)
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = materialise(named.where("text is not null").join(wanted, "node", "left_semi"), "texts")
-        return materialise(_confirmed(near, texts, shingle, percent), "confirmed")
-
-    def with_leader(m: DataFrame, order: Column) -> DataFrame:
-        leaders = m.select("bucket", F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("label").alias("leads")).alias("s")).groupBy("bucket").agg(F.min("s").alias("s")).select("bucket", "s.leader", "s.leads")
-        return m.join(leaders, "bucket").where("label != leads").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-
-    def mixed(links: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component so far."""
-        parts = components(links)
-        m = materialise(members.join(parts, "node", "left").select("bucket", "node", "band", F.coalesce("component", "node").alias("label")), "labelled")
-        open_ = m.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
-        return materialise(m.join(open_, "bucket"), "mixed")
-
-    alone = members.withColumn("label", F.col("node"))
-    links = checked(with_leader(alone, F.xxhash64("node")), "near")
-    rest = mixed(links)
-    links = materialise(links.union(checked(with_leader(rest, F.xxhash64("node", "band")), "near")), "links")
-    rest = materialise(mixed(links).join(slim, "node"), "across")
-    cross = rest.alias("x").join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & _may_link(percent))
-    links = links.union(checked(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), "near"))
+    links = _all_links(materialise(keyed.join(shared, "bucket"), "members"), named, shingle, percent)
     parts = materialise(components(links), "components").withColumnRenamed("node", "rep")
     found = rows.select("node", "n_shingles", "rep").join(parts, "rep", "left")
     component = F.coalesce("component", "rep", "node")
