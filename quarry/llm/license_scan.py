@@ -98,7 +98,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     sets = [sorted({w for w in t.split()}) for _, t in chosen]
     vocabulary = sorted({w for s in sets for w in s})
     spark = docs.sparkSession
-    spaced = docs.select(F.col(f"`{key}`").alias("row_key"), _spaced(text).alias("spaced"))
+    # A generator's output is computed once, where an alias would be put into each of its many uses.
+    spaced = docs.select(F.col(f"`{key}`").alias("row_key"), F.explode(F.array(_spaced(text))).alias("spaced"))
     order = token_order(spaced, vocabulary) if vocabulary else {}
     ordered = [sorted(order[w] for w in s) for s in sets]
     prefix = []
@@ -112,17 +113,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     has_phrase = F.lit(False)
     for phrase in PHRASES:
         has_phrase = has_phrase | F.contains("spaced", F.lit(f" {phrase} "))
-    words = F.split(F.trim("spaced"), " ")
     n_words = F.when(F.trim("spaced") == "", 0).otherwise(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))) - 1)
-    none = F.lit(None)
+    # Only texts with a phrase, or with a word of a template's prefix, are split; once, so a generator again.
+    words = F.when(has_phrase | may_hold, F.split(F.trim("spaced"), " "))
+    split = spaced.select("row_key", "spaced", F.explode(F.array(words)).alias("words"))
     marks = materialise(
-        spaced.select(
+        split.select(
             "row_key",
             F.xxhash64("spaced").alias("row_hash"),
             n_words.cast("long").alias("n_words"),
-            F.when(has_phrase, _phrase_places(words)).otherwise(none).alias("places"),
-            # Only texts with a word of a template's prefix can hold one.
-            F.when(may_hold, words).otherwise(none).alias("words"),
+            F.when(has_phrase, _phrase_places(F.col("words"))).alias("places"),
+            F.when(may_hold, F.col("words")).alias("words"),
         ),
         "marks",
     )
