@@ -7,7 +7,7 @@ agree in one block at least, so all within the radius are found. Those are verif
 the sum of the smaller over the sum of the larger counts of all shingles of window and item.
 
 At a similarity of 0.8 two fingerprints differ in 19 bits on average with a deviation of 4; a radius of 40 loses less
-than one pair in a million. Windows of which too few shingles occur in the benchmark at all to reach the similarity
+than one pair in a million. Windows of which too few shingles occur in items of their length to reach the similarity
 get no fingerprint, which loses nothing.
 """
 
@@ -78,6 +78,13 @@ class Items:
                 self.groups.setdefault(int(b - a), []).append((item, bag, fingerprint(bag)))
         self.index = {n: self._index(group) for n, group in self.groups.items()}
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # The lengths of the items that a shingle occurs in.
+        self.lengths: dict[int, dict[int, set[int]]] = {}
+        for n, group in self.groups.items():
+            of = self.lengths.setdefault(min(shingle, n), {})
+            for _, bag, _ in group:
+                for x in bag.tolist():
+                    of.setdefault(x, set()).add(n)
         for k in {min(shingle, n) for n in self.groups}:
             every = np.unique(np.concatenate([bag for n, g in self.groups.items() if min(shingle, n) == k for _, bag, _ in g]))
             low = np.zeros(1 << _LOW_BITS, bool)
@@ -109,15 +116,26 @@ class Items:
         return [i for i in sorted(met) if int((group[i][2] != bits).sum()) <= RADIUS]
 
     def search(self, h: np.ndarray, rolls: dict[int, np.ndarray], hits: dict[int, np.ndarray]) -> list[dict]:
-        """The best window of one document for each item that reaches the similarity."""
+        """The best window of one document for each item that reaches the similarity.
+
+        A window of n words needs so many shingles of items of n words at least; only those get a fingerprint.
+        """
         best: dict[int, tuple[float, int, int]] = {}
-        for n in self.groups:
+        places: dict[int, list[int]] = {}
+        for k, hit in hits.items():
+            at = np.flatnonzero(hit)
+            for place, x in zip(at.tolist(), rolls[k][at].tolist(), strict=True):
+                for n in self.lengths[k].get(x, ()):
+                    places.setdefault(n, []).append(place)
+        for n, own_places in places.items():
             k = min(self.shingle, n)
             roll, size = rolls[k], min(n, len(h)) - k + 1
             need = self.similarity * (n - k + 1) - 1e-9
-            if size < need or size < 1:
+            if size < 1 or size < need or len(own_places) < need:
                 continue
-            total = np.r_[0, np.cumsum(hits[k])]
+            flags = np.zeros(len(roll) + 1, np.int64)
+            flags[np.array(own_places) + 1] = 1
+            total = np.cumsum(flags)
             for start in np.flatnonzero(total[size:] - total[:-size] >= need).tolist():
                 bag = roll[start : start + size]
                 for i in self.near(n, fingerprint(bag)):
