@@ -100,8 +100,8 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return total.astype(np.int64)
 
 
-def _forest(nodes: list[int], pairs: np.ndarray, labels: list[int]) -> list[tuple[int, int]]:
-    """Those of the links (places in nodes) that join different components, which start as labels."""
+def _stars(pairs: np.ndarray, labels: list[int]) -> list[tuple[int, int]]:
+    """(label, smallest label) of all labels that links (pairs of places) join with a smaller one."""
     top: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -109,22 +109,20 @@ def _forest(nodes: list[int], pairs: np.ndarray, labels: list[int]) -> list[tupl
             x = top[x]
         return x
 
-    out = []
     for i, j in pairs.tolist():
         a, b = find(labels[i]), find(labels[j])
         if a != b:
             top[max(a, b)] = min(a, b)
-            out.append((nodes[i], nodes[j]))
-    return out
+    return [(x, find(x)) for x in top]
 
 
 def _linker(percent: int):
-    """Links of a group (side, node, label, items): among side 0, and between it and side 1."""
+    """Labels that links join, of a group (side, label, items): among side 0, and between it and side 1."""
 
     def links(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         side = group.column("side").to_numpy()
-        node, label = group.column("node").to_pylist(), group.column("label").to_pylist()
+        label = group.column("label").to_pylist()
         lists = group.column("items").chunk(0) if group.num_rows else pa.array([], pa.list_(pa.int64()))
         at = lists.offsets.to_numpy()
         flat = lists.values.to_numpy()
@@ -134,7 +132,7 @@ def _linker(percent: int):
         n = np.diff(at).astype(np.int64)
         both = shared_counts([sets[i] for i in rows], [sets[i] for i in columns])
         good = np.argwhere(100 * both >= percent * (n[rows][:, None] + n[columns][None, :] - both))
-        found = _forest(node, np.stack([rows[good[:, 0]], columns[good[:, 1]]], axis=1), label)
+        found = _stars(np.stack([rows[good[:, 0]], columns[good[:, 1]]], axis=1), label)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return links
@@ -167,28 +165,34 @@ def _meet(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return materialise(groups, "canopies"), met.where(f"odd > {tight}").select("bucket", "node")
 
 
-def _links(groups: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever is linked within a group, of groups (part, node).
+def _refined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, component) after links between components."""
+    if edges.isEmpty():
+        return parts
+    joined = materialise(components(edges), "components")
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    known = parts.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    return materialise(known.union(joined.join(parts, "node", "left_anti")), "parts")
 
-    links: known ones. A part of up to about BLOCK members is compared in one task. A larger one is dealt into
-    blocks; then what isn't in its largest component yet is compared with all of it, block by block.
-    """
-    schema = "a long, b long"
 
-    def labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-        if known is None:
-            return rows.withColumn("label", F.col("node"))
-        return rows.join(components(known), "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("label"))
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    return rows.join(parts, "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("label"))
+
 
+def _confirmed(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """parts (node, component), with all joined that is linked within a group of groups (part, node).
+
+    A part of up to about BLOCK members is compared in one task. A larger one is dealt into blocks; then what isn't in
+    its largest component yet is compared with all of it, block by block.
+    """
+    schema = "a long, b long"
     sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1")
     placed = groups.join(sizes, "part").select("part", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
-    first = labelled(placed, links).join(sets, "node").select("part", "block", "side", "node", "label", "items")
-    found = materialise(first.groupBy("part", "block").applyInArrow(_linker(percent), schema), "links")
-    found = found if links is None else links.union(found)
-    large = materialise(groups.join(sizes.where("blocks > 1").select("part"), "part", "left_semi"), "large")
+    first = _labelled(placed, parts).join(sets, "node").select("part", "block", "side", "label", "items")
+    parts = _refined(parts, materialise(first.groupBy("part", "block").applyInArrow(_linker(percent), schema).distinct(), "links"))
+    large = materialise(_labelled(groups.join(sizes.where("blocks > 1").select("part"), "part", "left_semi"), parts), "large")
     if large.isEmpty():
-        return found
-    large = materialise(labelled(large, found), "labelled")
+        return parts
     core = large.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("out"))
     core = core.where("out > 0").select("part", "core", F.ceil(F.col("n") / BLOCK).alias("wide"), F.ceil(F.col("out") / BLOCK).alias("high"))
     known = large.join(core, "part")
@@ -196,21 +200,22 @@ def _links(groups: DataFrame, links: DataFrame | None, sets: DataFrame, percent:
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     out = known.where("label != core").select("part", spot("high").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"), "node", "label")
     whole = known.select("part", every("high").alias("i"), spot("wide").alias("j"), F.lit(1).alias("side"), "node", "label")
-    second = out.union(whole).join(sets, "node").select("part", "i", "j", "side", "node", "label", "items")
-    return found.union(materialise(second.groupBy("part", "i", "j").applyInArrow(_linker(percent), schema), "links"))
+    second = out.union(whole).join(sets, "node").select("part", "i", "j", "side", "label", "items")
+    return _refined(parts, materialise(second.groupBy("part", "i", "j").applyInArrow(_linker(percent), schema).distinct(), "links"))
 
 
-def _all_links(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever members (bucket, node, sketch) are linked; texts: (node, text)."""
+def _components(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The components (node, component) of what is linked among members (bucket, node, sketch); texts: (node, text)."""
     groups, far = _meet(members, percent)
     wanted = groups.select("node").union(groups.select("leader")).union(far.select("node")).distinct()
     sets = materialise(item_sets(texts.where("text is not null").join(wanted, "node", "left_semi"), shingle).distinct(), "sets")
-    links = _links(groups.withColumnRenamed("leader", "part"), None, sets, percent)
+    none = members.sparkSession.createDataFrame([], "node long, component long")
+    parts = _confirmed(groups.withColumnRenamed("leader", "part"), none, sets, percent)
     # Those far from their leader are compared with each other, in buckets where that can still join components.
-    rest = materialise(far.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label")), "far")
+    rest = materialise(_labelled(far, parts), "far")
     mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
     rest = materialise(rest.join(mixed, "bucket", "left_semi").select(F.col("bucket").alias("part"), "node"), "far")
-    return _links(rest, links, sets, percent)
+    return _confirmed(rest, parts, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,8 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     )
     keyed = rows.where("bands is not null").select("node", "sketch", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    links = _all_links(materialise(keyed.join(shared, "bucket"), "members"), named, shingle, percent)
-    parts = materialise(components(links), "components").withColumnRenamed("node", "rep")
+    parts = _components(materialise(keyed.join(shared, "bucket"), "members"), named, shingle, percent).withColumnRenamed("node", "rep")
     found = rows.select("node", "n_shingles", "rep").join(parts, "rep", "left")
     component = F.coalesce("component", "rep", "node")
     return found.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), (F.col("node").isNull() | (F.col("node") == component)).alias("kept"))
