@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that numpy code works on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 21
@@ -44,23 +44,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def per_text(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable) -> DataFrame:
     """Runs work(TextSlice) -> list of Arrow columns over slices of df; keys pass through in front of them."""
     added = StructType.fromDDL(schema)
-    out = StructType([df.schema[k] for k in keys] + added.fields)
-    names = out.names
+    # Python functions can't take columns whose names hold dots, so all go by their place.
+    wanted = list(dict.fromkeys([*keys, text]))
+    out = StructType([StructField(f"c{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + added.fields)
+    names, held = out.names, f"c{wanted.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
-                cols = [part.batch.column(k) for k in keys] + work(part)
+            for part in text_slices(batch, held):
+                cols = [part.batch.column(i) for i in range(len(keys))] + work(part)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*keys, text])]).mapInArrow(run, out)
+    made = df.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(wanted)]).mapInArrow(run, out)
+    return made.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"`{n}`") for n in added.names])
 
 
 class TextSlice:
     """Rows of one Arrow batch whose texts fill about SLICE_BYTES; a null text counts as empty."""
 
-    def __init__(self, batch: pa.RecordBatch, texts: pa.Array):
-        self.batch, self.texts, self.rows = batch, texts, len(texts)
+    def __init__(self, batch: pa.RecordBatch, texts: pa.Array, nulls: pa.Array):
+        self.batch, self.texts, self.nulls, self.rows = batch, texts, nulls, len(texts)
 
     @property
     def strings(self) -> list[str]:
@@ -81,13 +84,14 @@ def text_slices(batch: pa.RecordBatch, text: str, budget: int = SLICE_BYTES) ->
     texts = batch.column(text)
     if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
         texts = texts.cast(pa.string())
+    nulls = texts.is_null()
     texts = pc.fill_null(texts, "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, done + budget, "right")))
-        yield TextSlice(batch.slice(start, stop - start), texts.slice(start, stop - start))
+        yield TextSlice(batch.slice(start, stop - start), texts.slice(start, stop - start), nulls.slice(start, stop - start))
         start = stop
 
 

@@ -209,7 +209,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def work(part: TextSlice) -> list[pa.Array]:
         counts, digests, joined, clean = {k: [] for k in KINDS}, [], [], []
-        for t, is_null in zip(part.strings, part.batch.column(text).is_null().to_pylist(), strict=True):
+        for t, is_null in zip(part.strings, part.nulls.to_pylist(), strict=True):
             base = plain_spans(t)
             every = sorted(set(base + disguised_spans(t, base)), key=_place)
             for k in KINDS:
@@ -230,7 +230,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def work(part: TextSlice) -> list[pa.Array]:
         clean = []
-        for t, is_null in zip(part.strings, part.batch.column(text).is_null().to_pylist(), strict=True):
+        for t, is_null in zip(part.strings, part.nulls.to_pylist(), strict=True):
             base = plain_spans(t)
             clean.append(None if is_null else _redacted(t, sorted(set(base + disguised_spans(t, base)), key=_place)))
         return [pa.array(clean, pa.string())]
