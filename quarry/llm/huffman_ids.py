@@ -8,6 +8,7 @@ Ids are decoded in step over all blocks of a file, so that numpy handles thousan
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TextSlice, materialise, per_text
-from .units import UnitCache
+from .units import ShortKeys
 
 LONGEST = 18
 #: Ids between two recorded bit offsets.
@@ -28,7 +29,7 @@ BLOCK = 128
 FILE_IDS = 1 << 19
 MAGIC = b"QHF1"
 _HEAD = struct.Struct("<4sIQQ")
-_encoders: dict[str, tuple[UnitCache, int]] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -139,45 +140,160 @@ def read_file(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[lis
     return [None if x else k for x, k in zip(null.tolist(), keys.tolist(), strict=True)], sizes, ids
 
 
-def _encoder(path: str) -> tuple[UnitCache, int]:
-    """A cached encoder of the parts between spaces and line ends, and the size of the vocabulary.
+class TextEncoder:
+    """Ids of whole texts, with the library called once for each distinct unit that is remembered.
 
-    The tokenizer drops white space and no token spans it, so the parts' ids, one after the other, are the text's.
+    The tokenizer drops white space, and no token spans it. In texts of ASCII and Latin-1 letters without apostrophes
+    it also parts every run of letters from what is beside it, so there runs of letters, and runs of neither letters
+    nor white space, are units, in lower case as the tokenizer has them. Elsewhere units are what lies between spaces.
     """
-    if path not in _encoders:
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-
-        def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            flat, at = [], [np.zeros(1, np.int64)]
-            for i in range(0, len(units), 20_000):
-                e = tok.encode(units[i : i + 20_000], is_pretokenized=True, add_special_tokens=False)
-                flat.append(np.array(e.ids, np.int32))
-                sizes = np.bincount(np.array([-1 if w is None else w for w in e.word_ids], np.int64), minlength=len(units[i : i + 20_000]))
-                at.append(at[-1][-1] + np.cumsum(sizes))
-            return np.concatenate(flat), np.concatenate(at)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        _encoders[path] = UnitCache(encode), tok.get_vocab_size()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self._tok = Tokenizer.from_file(path)
+        self.size = self._tok.get_vocab_size()
+        suffix = self._tok.model.end_of_word_suffix or ""
+        self._ends = np.zeros(self.size, bool)
+        self._ends[[i for w, i in self._tok.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self._keys, self._long = ShortKeys(), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._keys.clear()
+        self._long.clear()
+        self._flat, self._used = np.empty(1 << 20, np.int32), 0
+        self._at, self._count = np.zeros(MOST_UNITS + 1, np.int64), 0
+
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, and units + 1 offsets."""
+        flat, sizes = [], []
+        texts = [u.decode() for u in units]
+        for i in range(0, len(texts), 500):
+            some = texts[i : i + 500]
+            ids = None
+            if all(map(str.isalpha, some)):
+                # One word each, so their ends are the tokens that end words.
+                ids = np.array(self._tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+                ends = np.flatnonzero(self._ends[ids])
+                if len(ends) == len(some) and len(ids) == ends[-1] + 1:
+                    flat.append(ids)
+                    sizes.append(np.diff(np.r_[-1, ends]))
+                    continue
+            e = self._tok.encode(some, is_pretokenized=True, add_special_tokens=False)
+            words = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+            flat.append(np.array(e.ids, np.int32))
+            sizes.append(np.bincount(words[words >= 0], minlength=len(some)))
+        return np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(sizes))]
+
+    def _learn(self, units: list[bytes]) -> np.ndarray:
+        """Numbers for new units, letters first."""
+        units.sort(key=lambda u: not u.decode().isalpha())
+        flat, at = self._encode(units)
+        need = self._used + len(flat)
+        if need > len(self._flat):
+            self._flat = np.concatenate([self._flat[: self._used], np.empty(need, np.int32)])
+        self._flat[self._used : need] = flat
+        if self._count + len(units) >= len(self._at):
+            self._at = np.concatenate([self._at, np.zeros(len(units), np.int64)])
+        self._at[self._count : self._count + len(units) + 1] = self._used + at
+        numbers = np.arange(self._count, self._count + len(units))
+        self._used, self._count = need, self._count + len(units)
+        return numbers
+
+    def __call__(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each closed by end_id, and rows + 1 offsets."""
+        rows = len(at) - 1
+        # Rows with any byte that the finer rule isn't made for take the plain one.
+        odd = _ODD[data]
+        if len(data) > 1:
+            odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+            odd[1:] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        count = np.r_[0, np.cumsum(odd)]
+        plain = count[at[1:]] > count[at[:-1]]
+        kind = _KIND[data]
+        low = _LOWERED[data]
+        if plain.any():
+            within = np.repeat(plain, np.diff(at))
+            low[within] = data[within]
+            kind[within] = (data[within] != 0x20) & (data[within] != 0x0A)
+        first = np.zeros(len(data) + 1, bool)
+        first[at] = True
+        change = np.r_[True, kind[1:] != kind[:-1]] if len(data) else np.empty(0, bool)
+        cuts = np.flatnonzero(change | first[:-1])
+        stops = np.r_[cuts[1:], len(data)]
+        full = kind[cuts] > 0
+        starts, lens = cuts[full], (stops - cuts)[full]
+        bounds = np.searchsorted(starts, at)
+        number = self._numbers(np.concatenate([low, np.zeros(16, np.uint8)]), starts, lens)
+        begin = self._at[number]
+        size = self._at[number + 1] - begin
+        total = np.r_[0, np.cumsum(size)]
+        offsets = total[bounds] + np.arange(rows + 1)
+        out = np.empty(int(offsets[-1]), np.int32)
+        out[offsets[1:] - 1] = end_id
+        if len(number):
+            row = np.repeat(np.arange(rows), np.diff(bounds))
+            shift = np.repeat(begin - total[:-1], size)
+            step = np.arange(int(total[-1]))
+            out[step + np.repeat(row, size)] = self._flat[step + shift]
+        return out, offsets
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        if self._count > MOST_UNITS // 2 and self._count + len(starts) > MOST_UNITS:
+            self._forget()
+        number = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(lens <= ShortKeys.LONGEST)
+        low, high = ShortKeys.keys(data, starts[short], lens[short])
+        number[short] = self._keys.find(low, high)
+        missing = short[number[short] < 0]
+        long = np.flatnonzero(lens > ShortKeys.LONGEST)
+        raw = data.tobytes() if len(missing) or len(long) else b""
+        for places, known in ((missing, {}), (long, self._long)):
+            units = [raw[a : a + n] for a, n in zip(starts[places].tolist(), lens[places].tolist(), strict=True)]
+            new = [u for u in dict.fromkeys(units) if u not in known]
+            if new:
+                numbers = self._learn(new)
+                known.update(zip(new, numbers.tolist(), strict=True))
+                if known is not self._long:
+                    joined = np.frombuffer(b"".join(new) + bytes(16), np.uint8)
+                    sizes = np.array([len(u) for u in new], np.int64)
+                    self._keys.add(*ShortKeys.keys(joined, np.cumsum(sizes) - sizes, sizes), numbers)
+            number[places] = [known[u] for u in units]
+        return number
+
+
+#: Units that are remembered; a single slice can go beyond.
+MOST_UNITS = 1_000_000
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x00, 0x09), *range(0x0B, 0x0D), *range(0x0E, 0x20), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+# 0: white space, 1: letters, all bytes beyond ASCII among them, 2: the rest.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
+_LOWERED[0x80:0x9F] += 0x20  # second bytes of the capitals from U+00C0 on; rows with the sign among them are odd
+
+
+def _encoder(path: str) -> TextEncoder:
+    """One a worker process."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
-def _parts(text: str) -> list[str]:
-    if text.isascii() and "<|" not in text:
-        text = text.lower()  # as the tokenizer does, but for its special tokens
-    return [u for u in text.replace("\n", " ").split(" ") if u]
-
-
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids) of each row; ids: little-endian unsigned 16-bit integers, 32-bit for large vocabularies."""
 
     def work(part: TextSlice) -> list[pa.Array]:
-        cache, size = _encoder(tokenizer)
-        flat, at = cache([_parts(t) for t in part.strings], 0, 1)
-        flat[at[1:] - 1] = end_id
-        kind = "<u2" if size <= 1 << 16 else "<u4"
-        raw, cuts = flat.astype(kind).tobytes(), (at * int(kind[-1])).tolist()
-        return [pa.array(np.diff(at)), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
+        encode = _encoder(tokenizer)
+        flat, at = encode(*part.flat(), end_id)
+        kind = "<u2" if encode.size <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        raw = flat.astype(kind)
+        offsets = pa.array((at * raw.itemsize).astype(np.int32)).buffers()[1]
+        return [pa.array(np.diff(at)), pa.Array.from_buffers(pa.binary(), part.rows, [None, offsets, pa.py_buffer(raw)])]
 
     return per_text(docs, [key], text, "n_tokens long, ids binary", work)
 
@@ -266,7 +382,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", tex
     other than key and text are not read. Keys are integers.
     """
     named = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
-    size = max(_encoder(tokenizer)[1], end_id + 1)
+    size = max(_encoder(tokenizer).size, end_id + 1)
     width = 2 if size <= 1 << 16 else 4
     tokens = tokenise(named, tokenizer, end_id, key, text)
     tokens = materialise(tokens, "ids", "zstd")

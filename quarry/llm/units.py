@@ -59,3 +59,60 @@ class UnitCache:
         self._at[self._count : self._count + len(fresh) + 1] = self._used + at
         self._known.update(zip(fresh, range(self._count, self._count + len(fresh)), strict=True))
         self._used, self._count = need, self._count + len(fresh)
+
+
+class ShortKeys:
+    """Numbers of short byte strings, looked up many at once: an open table of two 64-bit words a key.
+
+    A key of up to 15 bytes is its bytes and its length, so lookups are exact.
+    """
+
+    LONGEST = 15
+    _BITS = 21
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self._low, self._high = np.zeros(1 << self._BITS, np.uint64), np.zeros(1 << self._BITS, np.uint64)
+        self._value = np.full(1 << self._BITS, -1, np.int32)
+
+    @staticmethod
+    def keys(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of stretches of data, which needs 16 bytes to spare at its end."""
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        low = words[starts] & _KEEP[np.minimum(lens, 8)]
+        high = words[starts + 8] & _KEEP[np.clip(lens - 8, 0, 8)]
+        return low, high | (lens.astype(np.uint64) << np.uint64(56))
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers of keys, -1 for those that aren't there."""
+        slot = self._slot(low, high)
+        out = self._value[slot]
+        again = np.flatnonzero((out >= 0) & ((self._low[slot] != low) | (self._high[slot] != high)))
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self._BITS) - 1)
+            s = slot[again]
+            out[again] = self._value[s]
+            again = again[(out[again] >= 0) & ((self._low[s] != low[again]) | (self._high[s] != high[again]))]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> None:
+        """Puts distinct new keys in; the table must stay well under full."""
+        slot, left = self._slot(low, high), np.arange(len(low))
+        while len(left):
+            free = left[self._value[slot[left]] < 0]
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            s = slot[first]
+            self._low[s], self._high[s], self._value[s] = low[first], high[first], values[first]
+            placed = np.zeros(len(low), bool)
+            placed[first] = True
+            left = left[~placed[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self._BITS) - 1)
+
+
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
