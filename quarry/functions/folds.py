@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import embedding_text, figure_text, heading_level, is_caption, or_else, strip
+from .text import embedding_text, figure_text, heading_level, is_caption, let, or_else, strip
 
 PART_CHARS = 800
 
@@ -83,27 +85,31 @@ def split_description(text: Column, page: Column, most: int = PART_CHARS) -> Col
 
     parts = F.aggregate(paragraphs, F.array().cast("array<string>"), step)
 
-    def element(p: Column, i: Column) -> Column:
-        place = F.concat(F.lit("part "), (i + 1).cast("string"), F.lit(" of "), F.size(parts).cast("string"))
-        return F.struct(
-            F.concat(F.lit("[Vision description of slide "), number, F.lit(", "), place, F.lit("]: "), p).alias("text"),
-            F.concat(F.lit("Page "), number, F.lit(" ("), place, F.lit(")")).alias("section_path"), number.alias("page_or_sheet"),
-        )
+    def elements(parts: Column) -> Column:
+        def element(p: Column, i: Column) -> Column:
+            place = F.concat(F.lit("part "), (i + 1).cast("string"), F.lit(" of "), F.size(parts).cast("string"))
+            return F.struct(
+                F.concat(F.lit("[Vision description of slide "), number, F.lit(", "), place, F.lit("]: "), p).alias("text"),
+                F.concat(F.lit("Page "), number, F.lit(" ("), place, F.lit(")")).alias("section_path"), number.alias("page_or_sheet"),
+            )
+
+        return F.transform(parts, element)
 
     whole = F.array(F.struct(F.concat(F.lit("[Vision description of slide "), number, F.lit("]: "), text).alias("text"), F.concat(F.lit("Page "), number).alias("section_path"), number.alias("page_or_sheet")))
-    return F.when(F.length(text) <= most, whole).otherwise(F.transform(parts, element))
+    return F.when(F.length(text) <= most, whole).otherwise(let(parts, elements))
 
 
-def leading_edge(times: Column, seconds: Column | float) -> Column:
-    """Of sorted event times those that pass a debounce: the first, and each at least so long after the last that passed."""
-    gap = F.lit(seconds) if not isinstance(seconds, Column) else seconds
+def leading_edge(events: Column, gap: float, at: Callable[[Column], Column] = lambda e: e) -> Column:
+    """Of events sorted by time those that pass a debounce: the first, and each at least `gap` after the last that passed.
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        passes = (F.size(acc) == 0) | (t.cast("double") - last.cast("double") >= gap)
-        return F.when(passes, F.concat(acc, F.array(t))).otherwise(acc)
+    at: an event -> its time, as a number.
+    """
+
+    def step(acc: Column, e: Column) -> Column:
+        passes = (F.size(acc) == 0) | (at(e) - at(F.element_at(acc, -1)) >= gap)
+        return F.when(passes, F.concat(acc, F.array(e))).otherwise(acc)
 
-    return F.aggregate(times, F.slice(times, 1, 0), step)
+    return F.aggregate(events, F.slice(events, 1, 0), step)
 
 
 def joined_sources(sources: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 MOST_COLUMNS, MOST_HEADERS = 26, 6
 
@@ -30,11 +30,14 @@ def is_numeric(cell: Column) -> Column:
 
 def trimmed(rows: Column) -> Column:
     """Without blank rows and columns at the end."""
-    blank = lambda c: strip(c) == ""
-    used = lambda row: F.coalesce(F.array_max(F.transform(row, lambda c, i: F.when(~blank(c), i + 1))), F.lit(0))
-    last = F.coalesce(F.array_max(F.transform(rows, lambda r, i: F.when(used(r) > 0, i + 1))), F.lit(0))
-    wide = F.coalesce(F.array_max(F.transform(rows, used)), F.lit(0))
-    return F.transform(F.slice(rows, F.lit(1), last), lambda r: F.slice(r, F.lit(1), wide))
+    used = F.transform(rows, lambda row: F.coalesce(F.array_max(F.transform(row, lambda c, i: F.when(strip(c) != "", i + 1))), F.lit(0)))
+
+    def cut(used: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(used, lambda n, i: F.when(n > 0, i + 1))), F.lit(0))
+        wide = F.coalesce(F.array_max(used), F.lit(0))
+        return let(wide, lambda w: F.transform(F.slice(rows, F.lit(1), last), lambda r: F.slice(r, F.lit(1), w)))
+
+    return let(used, cut)
 
 
 def width(rows: Column) -> Column:
@@ -50,23 +53,26 @@ def has_header(rows: Column) -> Column:
 
 def markdown(rows: Column, most: int | None = MOST_COLUMNS, strip_cells: bool = True) -> Column:
     """A Markdown table of at most so many columns; '' without rows. Short rows are filled up."""
-    all_columns = width(rows)
-    n = F.least(all_columns, F.lit(most)) if most else all_columns
 
     def cell(c: Column) -> Column:
         c = F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
         return strip(c) if strip_cells else c
 
-    def line(row: Column) -> Column:
-        padded = F.slice(F.concat(row, F.array_repeat(F.lit(""), n)), F.lit(1), n)
-        return F.concat(F.lit("| "), F.array_join(F.transform(padded, cell), " | "), F.lit(" |"))
+    def table(all_columns: Column) -> Column:
+        n = F.least(all_columns, F.lit(most)) if most else all_columns
+
+        def line(row: Column) -> Column:
+            padded = F.slice(F.concat(row, F.array_repeat(F.lit(""), n)), F.lit(1), n)
+            return F.concat(F.lit("| "), F.array_join(F.transform(padded, cell), " | "), F.lit(" |"))
 
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |"))
-    lines = F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line))
-    if most:
-        note = F.concat(F.lit(f"*Truncated: showing {most} of "), all_columns.cast("string"), F.lit(" columns*"))
-        lines = F.when(all_columns > most, F.concat(lines, F.array(note))).otherwise(lines)
-    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(lines, "\n"))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |"))
+        lines = F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line))
+        if most:
+            note = F.concat(F.lit(f"*Truncated: showing {most} of "), all_columns.cast("string"), F.lit(" columns*"))
+            lines = F.when(all_columns > most, F.concat(lines, F.array(note))).otherwise(lines)
+        return F.array_join(lines, "\n")
+
+    return F.when(F.size(rows) == 0, "").otherwise(let(width(rows), table))
 
 
 def summary(name: Column, rows: Column) -> Column:
@@ -90,9 +96,12 @@ def plain_text(name: Column, rows: Column) -> Column:
 
 def sheet_element(name: Column, rows: Column) -> Column:
     """The element of a sheet; rows are trimmed first. A blank sheet has none (null)."""
-    rows = trimmed(rows)
-    made = F.struct(
-        F.lit("sheet").alias("element_type"), plain_text(name, rows).alias("text"), name.alias("section_path"), name.alias("page_or_sheet"),
-        markdown(rows).alias("html_or_markdown"), a1_range(rows).alias("source_range"), summary(name, rows).alias("summary"),
-    )
-    return F.when(F.size(rows) > 0, made)
+
+    def element(rows: Column) -> Column:
+        made = F.struct(
+            F.lit("sheet").alias("element_type"), plain_text(name, rows).alias("text"), name.alias("section_path"), name.alias("page_or_sheet"),
+            markdown(rows).alias("html_or_markdown"), a1_range(rows).alias("source_range"), summary(name, rows).alias("summary"),
+        )
+        return F.when(F.size(rows) > 0, made)
+
+    return let(trimmed(rows), element)

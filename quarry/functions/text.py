@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ EMBEDDED_CHARS = 2000
 _SPACES = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at its ends."""
     return F.regexp_replace(c, _SPACES, "")

@@ -77,8 +77,10 @@ def debounced(events: DataFrame, seconds: float, key: list[str], ts: str = "ts")
     """
     from ..functions.folds import leading_edge
 
-    gathered = events.where(F.col(ts).isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_set(ts)).alias("times"))
-    return gathered.select(*key, F.explode(leading_edge(F.col("times"), float(seconds))).alias(ts))
+    timed = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(ts).alias("ts"))
+    gathered = events.where(F.col(ts).isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_set(timed)).alias("times"))
+    passed = leading_edge(F.col("times"), seconds * 1_000_000, lambda e: e["at"])
+    return gathered.select(*key, F.explode(passed).alias("e")).select(*key, F.col("e.ts").alias(ts))
 
 
 def ranked_by(rows: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +67,9 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: st
             best_d, best_k = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
                 lists = batch.column(1)
-                ok = np.array([x is not None and len(x) == q.shape[1] for x in lists])
-                if not ok.any():
+                rows = np.flatnonzero(pc.equal(pc.list_value_length(lists), q.shape[1]).fill_null(False).to_numpy(zero_copy_only=False))
+                if not len(rows):
                     continue
-                rows = np.flatnonzero(ok)
                 x = np.array(lists.take(pa.array(rows)).to_pylist(), np.float64)
                 keys = batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
                 if metric == "l2":

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import described, input_text, or_else
+from ..functions.folds import input_text
+from ..functions.text import described, or_else
 from ..operators.chunk import chunk_elements, chunk_text
 from ..operators.enrich import Embedder, HashingEmbedder, LanguageModel, Tokenizer, WordTokenizer, describe, embedding
 from ..operators.incremental import candidates, changed, vanished
 from ..operators.store import Store
 from ..schema import CHUNKS
-from ..sources.files import iso_time, metadata, scan, within_size
+from ..sources.files import empty_files, iso_time, metadata, scan, within_size
 from ..sources.parse import parse
 
 
@@ -61,11 +63,12 @@ class Indexer:
         deletions: also take out documents below the folder whose files are gone.
         """
         extensions = self.config.file_extensions
-        listed = within_size(scan(self.spark, folder, extensions, contents=False), self.config.max_file_size_mb)
+        empty = empty_files(self.spark, folder, extensions)
+        listed = within_size(scan(self.spark, folder, extensions, contents=False).unionByName(empty.drop("content")), self.config.max_file_size_mb)
         listed = listed.withColumns({"file_path": F.col("path"), "modified_time": iso_time(F.col("modificationTime"))})
         registry = self.store.registry()
         wanted = listed if force else candidates(listed, registry)
-        files = within_size(scan(self.spark, folder, extensions), self.config.max_file_size_mb).join(wanted.select("path"), "path", "left_semi")
+        files = within_size(scan(self.spark, folder, extensions).unionByName(empty), self.config.max_file_size_mb).join(wanted.select("path"), "path", "left_semi")
         if not force:
             hashed = metadata(files)
             files = changed(hashed, registry).select(files.columns)
@@ -73,7 +76,8 @@ class Indexer:
         done = self.store.upsert(catalog, chunks, force)
         gone = 0
         if deletions:
-            below = registry.where(F.col("file_path").contains(folder.rstrip("/") + "/"))
+            root = re.sub(r"^[a-z]+:/+", "/", folder).rstrip("/") + "/"  # paths come with one slash after their scheme
+            below = registry.where(F.col("file_path").contains(root))
             gone = self.store.delete(vanished(listed, below))
         return {"indexed": done, "deleted": gone, "failed": failures.count()}
 

@@ -49,23 +49,28 @@ def _nearest_sql(d: str) -> str:
     select vec_id, label, round(d, 6) as distance from d order by d, vec_id limit {_K}"""
 
 
-_rounded = F.round("distance", 6).alias("distance")
+
+
+def _rounded() -> Column:
+    return F.round("distance", 6).alias("distance")
+
+
 _SQL_L2 = "list_distance(embedding::double[], e) ** 2"
 
 
 @_query(_nearest_sql(_SQL_L2))
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir, "l2").select("vec_id", "label", _rounded)
+    return _nearest(spark, sf_dir, "l2").select("vec_id", "label", _rounded())
 
 
 @_query(_nearest_sql("1 - list_cosine_similarity(embedding::double[], e)"))
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir, "cosine").select("vec_id", "label", _rounded)
+    return _nearest(spark, sf_dir, "cosine").select("vec_id", "label", _rounded())
 
 
 @_query(_nearest_sql("-list_dot_product(embedding::double[], e)"))
 def knn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir, "dot").select("vec_id", "label", _rounded)
+    return _nearest(spark, sf_dir, "dot").select("vec_id", "label", _rounded())
 
 
 @_query(f"""with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 50 = 0),
@@ -75,7 +80,7 @@ def knn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _t(spark, sf_dir, "embeddings")
     queries = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return knn.nearest_batch(corpus, queries, 5).select("query_id", "vec_id", "rank", _rounded)
+    return knn.nearest_batch(corpus, queries, 5).select("query_id", "vec_id", "rank", _rounded())
 
 
 @_query(f"""with q as (select embedding::double[] as e from embeddings where vec_id = {_PROBE}),
@@ -85,7 +90,7 @@ def knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _t(spark, sf_dir, "embeddings")
     probe = corpus.where(F.col("vec_id") == _PROBE).select(F.col("embedding").alias("q")).limit(1)
     near = corpus.crossJoin(F.broadcast(probe)).withColumn("distance", knn.distance(F.col("embedding"), F.col("q")))  # one row
-    return incremental.ranked_by(near, "label", [F.col("distance"), F.col("vec_id")], 3).select("label", "vec_id", "rank", _rounded)
+    return incremental.ranked_by(near, "label", [F.col("distance"), F.col("vec_id")], 3).select("label", "vec_id", "rank", _rounded())
 
 
 @_query(f"""with q as (select embedding::double[] as e from embeddings where vec_id = {_PROBE}),
@@ -266,14 +271,15 @@ def chunk_char_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, "stop")
 
 
-_STYLE = F.when(F.col("turn") == 0, "Title").when(F.col("role") == "user", "Heading 1").when(F.length("text") % 3 == 0, "heading 2").otherwise("Normal")
+def _style() -> Column:
+    return F.when(F.col("turn") == 0, "Title").when(F.col("role") == "user", "Heading 1").when(F.length("text") % 3 == 0, "heading 2").otherwise("Normal")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents: their turns, in order, are elements of several kinds."""
     t = _t(spark, sf_dir, "conversations")
     kind = F.when(F.col("turn") == 0, "title").when(F.col("role") == "user", "heading_1").when(F.length("text") % 5 == 0, "table").when(F.length("text") % 3 == 0, "list_item").otherwise("paragraph")
-    t = t.withColumns({"element_type": kind, "style": _STYLE, "section_path": F.col("role"), "page_or_sheet": F.col("turn").cast("string"), "html_or_markdown": F.lit(""), "summary": F.lit(""), "extracted_by": F.when(F.col("role") == "user", "docling").otherwise("easyocr")})
+    t = t.withColumns({"element_type": kind, "style": _style(), "section_path": F.col("role"), "page_or_sheet": F.col("turn").cast("string"), "html_or_markdown": F.lit(""), "summary": F.lit(""), "extracted_by": F.when(F.col("role") == "user", "docling").otherwise("easyocr")})
     return elements.ordered_array(t, "conv_id", ["turn", "text"], ["element_type", "style", "text", "section_path", "page_or_sheet", "html_or_markdown", "summary", "extracted_by"])
 
 
@@ -370,7 +376,8 @@ def merge_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.merged(first, second).limit(200).select("page_or_sheet", "source_rank", "seq")  # the first of the order
 
 
-_EVENT_KIND = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "modify").when(F.col("event_type") == "error", "delete").otherwise("scan")
+def _event_kind() -> Column:
+    return F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "modify").when(F.col("event_type") == "error", "delete").otherwise("scan")
 _KIND_SQL = "case event_type when 'click' then 'create' when 'view' then 'modify' when 'error' then 'delete' else 'scan' end"
 _PRIORITY_SQL = f"case {_KIND_SQL} when 'create' then 3 when 'modify' then 5 when 'scan' then 8 end"
 
@@ -382,13 +389,13 @@ def newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"select event_id, {_PRIORITY_SQL} as priority from events")
 def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.with_priority(_t(spark, sf_dir, "events").withColumn("kind", _EVENT_KIND)).select("event_id", "priority")
+    return incremental.with_priority(_t(spark, sf_dir, "events").withColumn("kind", _event_kind())).select("event_id", "priority")
 
 
 @_query(f"""select user_id as file_path, min(p) as priority from (select user_id, {_PRIORITY_SQL} as p from events where {_KIND_SQL} <> 'delete')
     where user_id not in (select user_id from events where {_KIND_SQL} = 'delete' and value > 200) group by user_id""")
 def queue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = incremental.with_priority(_t(spark, sf_dir, "events").withColumn("kind", _EVENT_KIND)).withColumnRenamed("user_id", "file_path")
+    routed = incremental.with_priority(_t(spark, sf_dir, "events").withColumn("kind", _event_kind())).withColumnRenamed("user_id", "file_path")
     done = routed.where("kind = 'delete' and value > 200")
     return incremental.queued(routed.where("kind != 'delete'").select("file_path", "priority"), done=done)
 
@@ -450,9 +457,6 @@ def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").where("p_partkey <= 18278").select("p_partkey", sheets.column_letter(F.col("p_partkey")).alias("letter"))
 
 
-_SHEET_HEAD = F.array(F.array(F.lit("name|x"), F.lit("type"), F.lit("size")))
-
-
 @_query("""with s as (select p_brand, count(*) + 1 as n, string_agg(p_name || ' | ' || p_type || ' | ' || p_size, chr(10) order by p_partkey) as body,
       string_agg('| ' || p_name || ' | ' || p_type || ' | ' || p_size || ' |', chr(10) order by p_partkey) as md from part group by p_brand)
     select p_brand as section_path, 'A1:C' || n as source_range, 'Sheet ''' || p_brand || ''': ' || (n - 1) || ' data rows, columns: name|x, type, size' as summary,
@@ -462,8 +466,8 @@ def sheet_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string"), F.lit(" "))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("c")))), lambda x: x["c"])
     rows = _t(spark, sf_dir, "part").groupBy("p_brand").agg(packed.alias("rows"))
-    blank = F.array(F.array(F.lit(""), F.lit(" ")))
-    made = rows.select(sheets.sheet_element(F.col("p_brand"), F.concat(_SHEET_HEAD, F.col("rows"), blank)).alias("e"))
+    head, blank = F.array(F.array(F.lit("name|x"), F.lit("type"), F.lit("size"))), F.array(F.array(F.lit(""), F.lit(" ")))
+    made = rows.select(sheets.sheet_element(F.col("p_brand"), F.concat(head, F.col("rows"), blank)).alias("e"))
     return made.select("e.section_path", "e.source_range", "e.summary", F.sha2("e.text", 256).alias("text_digest"), F.sha2("e.html_or_markdown", 256).alias("markdown_digest"))
 
 

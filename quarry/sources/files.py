@@ -56,6 +56,13 @@ def scan(spark: SparkSession, folder: str, extensions: Iterable[str], contents:
     return rows.dropDuplicates(["path"]).where(is_indexed(F.regexp_replace("path", "^[a-z]+:/+", "/"), extensions))
 
 
+def empty_files(spark: SparkSession, folder: str, extensions: Iterable[str]) -> DataFrame:
+    """The rows of files without bytes, which Spark's file source leaves out; only of folders the driver can list."""
+    local = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
+    found = listing(spark, [local] if os.path.isdir(local) else [], [*extensions, *(e.upper() for e in extensions)])
+    return found.where("length = 0").select(F.concat(F.lit("file:"), "path").alias("path"), "length", "modificationTime", F.lit(b"").alias("content"))
+
+
 def within_size(rows: DataFrame, most_mb: int) -> DataFrame:
     """Without files over the limit; the filter reaches the listing, so larger ones aren't read."""
     return rows.where(F.col("length") <= most_mb * 1048576)
