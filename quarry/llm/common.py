@@ -71,11 +71,18 @@ class TextSlice:
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
         """The UTF-8 bytes of all rows and their rows + 1 offsets, without a copy."""
-        wide = pa.types.is_large_string(self.texts.type)
-        _, offsets, data = self.texts.buffers()
-        at = np.frombuffer(offsets, np.int64 if wide else np.int32)[self.texts.offset : self.texts.offset + self.rows + 1].astype(np.int64)
-        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-        return raw, at - at[0]
+        return flat(self.texts)
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts without nulls, and their offsets."""
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if offsets is None or not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, at - at[0]
 
 
 def text_slices(batch: pa.RecordBatch, text: str, budget: int = SLICE_BYTES) -> Iterator[TextSlice]:

@@ -18,10 +18,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, TextSlice, mix, per_text, word_hashes, words
+from .common import NOT_ALNUM, TextSlice, flat, mix, per_text, word_hashes, words
 
 BITS, RADIUS = 128, 40
 SHINGLE, SIMILARITY = 5, 0.8
@@ -32,8 +33,9 @@ _LOW_BITS = 20
 _FOUND = "array<struct<item_id:bigint,start_word:bigint,n_words:bigint,similarity:double>>"
 
 
-def _hashes(part_data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = LOWER[part_data]
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, letters of any script in lower case, and each text's bounds among them."""
+    data, at = flat(pc.utf8_lower(texts))
     starts, ends, bounds = words(data, at, NOT_ALNUM)
     return word_hashes(data, starts, ends), bounds
 
@@ -68,9 +70,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, similarity: float):
         self.shingle, self.similarity = shingle, similarity
-        raw = [t.encode() for _, t in items]
-        at = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
-        h, bounds = _hashes(np.frombuffer(b"".join(raw), np.uint8), at)
+        h, bounds = _hashes(pa.array([t for _, t in items], pa.string()))
         self.groups: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for (item, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True):
             if b > a:
@@ -163,7 +163,7 @@ def _parts(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[in
 def find_items(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, found: str = "found_items") -> DataFrame:
     """The columns keys of docs, and `found`: for each benchmark item in the text its best window, the first of equals.
 
-    Words are runs of ASCII digits and letters, with A-Z lower-cased, and of all characters beyond ASCII. An item of
+    Words are runs of ASCII digits and letters and of all characters beyond ASCII, each letter in lower case. An item of
     fewer words than a shingle is one shingle, its whole sequence; one without words, or with a null, is never found.
     A document shorter than an item is one window. Items with one id count as one, those with equal texts apart. A null
     or empty text has no items, repeated rows have the same, and whole texts are searched. An empty benchmark finds
@@ -177,7 +177,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str
             if not made:
                 made.append(Items(items, shingle, similarity))
             own = made[0]
-            h, bounds = _hashes(*part.flat())
+            h, bounds = _hashes(part.texts)
             rolls = {k: _rolled(h, k) for k in own.known}
             hits = {k: own.occurs(r, k) for k, r in rolls.items()}
             out: list[list] = [[] for _ in range(part.rows)]

@@ -248,3 +248,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     found = rows.select("node", "n_shingles", "rep").join(parts, "rep", "left")
     component = F.coalesce("component", "rep", "node")
     return found.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), (F.col("node").isNull() | (F.col("node") == component)).alias("kept"))
+
+
+def oracle_sql(table: str = "documents", percent: int = 80) -> str:
+    """The same for two-word shingles in DuckDB, comparing all pairs that share a shingle; doc_id is a key."""
+    return f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from {table}),
+s as materialized (
+  select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) = 1 then ws else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+link as materialized (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all)
+  join n p on p.doc_id = a join n q on q.doc_id = b where 100 * common >= {percent} * (p.n + q.n - common)),
+step as (select a, b from link union all select b, a from link),
+reach(doc_id, top) as (select a, b from step union select reach.doc_id, step.b from reach join step on step.a = reach.top),
+low as (select doc_id, least(doc_id, min(top)) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, doc_id = coalesce(component_id, doc_id) as kept
+from {table} left join n using (doc_id) left join low using (doc_id)"""

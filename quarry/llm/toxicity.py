@@ -16,10 +16,10 @@ from .common import LOWER, NOT_ALNUM, TextSlice, mix, per_text, word_hashes, wor
 
 HASH_BITS = 18
 #: Word beginnings of so many bytes are features besides whole words.
-BEGINNINGS = (4, 6)
+BEGINNINGS = (4, 6, 8, 10)
 #: Labelled documents that the models are fitted on at most, taken in the order of a hash of their id.
 MAX_TRAINING = 8000
-FOLDS, EPOCHS, BATCH, RATE, DECAY = 4, 6, 32, 0.5, 1e-6
+FOLDS, EPOCHS, BATCH, RATE, DECAY = 4, 10, 32, 3.0, 1e-6
 
 # English words that mark two kinds of abuse among documents labelled toxic.
 KINDS = {

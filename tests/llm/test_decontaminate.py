@@ -69,6 +69,12 @@ def test_equals_all_windows(spark):
     assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == set(docs) - {k[0] for k in want}
 
 
+def test_case_of_any_script(spark):
+    text = "Éai éonleeau pour ñez queê ça va über größe и так далее"
+    df = spark.createDataFrame([(1, "X!! " + text.upper().replace("SS", "ß").replace(" ", "!! "))], "doc_id long, text string")
+    assert [r["item_id"] for r in d.matches(df, spark.createDataFrame([(5, text)], "item_id long, text string")).collect()] == [5]
+
+
 def test_parts_of_a_large_benchmark(spark, monkeypatch):
     docs, items = make()
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")

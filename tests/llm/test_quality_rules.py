@@ -60,5 +60,5 @@ def test_strata_and_keep(spark):
 def test_odd_input(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert q.judge(odd_docs, none).count() == odd_docs.count()
-    assert q.keep(odd_docs, none).count() == 0  # its long texts repeat themselves
+    assert {r["doc_id"] for r in q.keep(odd_docs, none).collect()} == {6, 7}
     assert q.judge(no_docs, none).collect() == []

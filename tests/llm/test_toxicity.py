@@ -28,7 +28,7 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[i]["toxic"] == bool(y) for i, _, y in held]) > 0.95
     # The first category is about insults: its probability is higher where they stand.
     p = [[got[i]["p_insult"] for i, x, _ in held if ("idiot" in x or "moron" in x) == there] for there in (True, False)]
-    assert np.mean(p[0]) > np.mean(p[1]) + 0.3
+    assert np.mean([a > b for a in p[0] for b in p[1]]) > 0.95
 
 
 def test_chain_uses_earlier_categories():
