@@ -105,6 +105,14 @@ def context_counts(docs: DataFrame, classes: Classes, text: str = "text") -> np.
     return counts.reshape(CLASSES, CLASSES, CLASSES).transpose(0, 2, 1)
 
 
+#: Rows that are multiplied at once: few enough for the library to stay on one thread, as others may need the cores.
+_ROWS = 40
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.reshape(-1, _ROWS, a.shape[1]) @ b).reshape(len(a), b.shape[1])
+
+
 class WindowNetwork:
     """p(token | left, right) = softmax(out @ tanh(left table + right table + shift) + bias)."""
 
@@ -115,7 +123,7 @@ class WindowNetwork:
 
     def _forward(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(self.p["left"][left] + self.p["right"][right] + self.p["shift"])
-        z = h @ self.p["out"] + self.p["bias"]
+        z = _product(h, self.p["out"]) + self.p["bias"]
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return h, z
@@ -128,21 +136,20 @@ class WindowNetwork:
     def fit(self, counts: np.ndarray, steps: int = STEPS) -> WindowNetwork:
         """Adam on the likelihood of all counts at once."""
         flat = counts.reshape(CLASSES**2, CLASSES)
-        used = np.flatnonzero(flat.sum(axis=1))
-        if not len(used):
+        total = flat.sum(dtype=np.float64)
+        if not total:
             return self
-        y = flat[used] / flat.sum()
+        y = (flat / total).astype(np.float32)
         weight = y.sum(axis=1, keepdims=True)
-        left, right = np.divmod(used, CLASSES)
+        left, right = np.divmod(np.arange(CLASSES**2), CLASSES)
         self.p["bias"] = np.log(y.sum(axis=0) + 1e-9).astype(np.float32)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for t in range(1, steps + 1):
             h, z = self._forward(left, right)
             err = np.exp(z) * weight - y
-            back = (err @ self.p["out"].T) * (1 - h * h)
-            g = {"out": h.T @ err, "bias": err.sum(axis=0), "shift": back.sum(axis=0), "left": np.zeros_like(self.p["left"]), "right": np.zeros_like(self.p["right"])}
-            np.add.at(g["left"], left, back)
-            np.add.at(g["right"], right, back)
+            back = _product(err, np.ascontiguousarray(self.p["out"].T)) * (1 - h * h)
+            grid = back.reshape(CLASSES, CLASSES, HIDDEN)
+            g = {"out": (h.reshape(-1, _ROWS, HIDDEN).transpose(0, 2, 1) @ err.reshape(-1, _ROWS, CLASSES)).sum(axis=0), "bias": err.sum(axis=0), "shift": back.sum(axis=0), "left": grid.sum(axis=1), "right": grid.sum(axis=0)}
             for k, x in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
