@@ -130,6 +130,12 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; np.unique() without further results takes a far slower way."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_A
@@ -165,6 +171,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(_BYTE[chars] * table[within], begin) + lens.astype(np.uint64))
 
 
+def beginning_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size the hashes of the words' first so many bytes; as word_hashes() of the shortened words."""
+    lens, total, out = ends - starts, np.zeros(len(starts), np.uint64), []
+    table = _power_table(max(sizes))
+    for i in range(max(sizes)):
+        char = data[np.minimum(starts + i, max(len(data) - 1, 0))] if len(starts) else np.empty(0, np.uint8)
+        total += np.where(lens > i, _BYTE[char] * table[i], np.uint64(0))
+        if i + 1 in sizes:
+            out.append(mix(total + np.minimum(lens, i + 1).astype(np.uint64)))
+    return out
+
+
 def shingle_hashes(h: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles; with fewer words, the whole sequence is one."""
     roll = np.zeros(max(len(h) - k + 1, 0), np.uint64)
@@ -173,7 +191,7 @@ def shingle_hashes(h: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(roll[a : b - k + 1]))
+            out.append(distinct(roll[a : b - k + 1]))
         elif b > a:
             whole = np.uint64(b - a)
             with np.errstate(over="ignore"):
