@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, TextSlice, flat, mix, per_text, word_hashes, words
+from .common import NOT_ALNUM, TextSlice, distinct, flat, mix, per_text, word_hashes, words
 
 BITS, RADIUS = 128, 40
 SHINGLE, SIMILARITY = 5, 0.8
@@ -86,7 +86,7 @@ class Items:
                 for x in bag.tolist():
                     of.setdefault(x, set()).add(n)
         for k in {min(shingle, n) for n in self.groups}:
-            every = np.unique(np.concatenate([bag for n, g in self.groups.items() if min(shingle, n) == k for _, bag, _ in g]))
+            every = distinct(np.concatenate([bag for n, g in self.groups.items() if min(shingle, n) == k for _, bag, _ in g]))
             low = np.zeros(1 << _LOW_BITS, bool)
             low[(every & np.uint64((1 << _LOW_BITS) - 1)).astype(np.int64)] = True
             self.known[k] = every, low
@@ -181,7 +181,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str
             rolls = {k: _rolled(h, k) for k in own.known}
             hits = {k: own.occurs(r, k) for k, r in rolls.items()}
             out: list[list] = [[] for _ in range(part.rows)]
-            at = np.unique(np.concatenate([np.searchsorted(bounds, np.flatnonzero(x), "right") - 1 for x in hits.values()] or [np.empty(0, np.int64)]))
+            at = distinct(np.concatenate([np.searchsorted(bounds, np.flatnonzero(x), "right") - 1 for x in hits.values()] or [np.empty(0, np.int64)]))
             for row in at.tolist():
                 a, b = int(bounds[row]), int(bounds[row + 1])
                 inside = {k: slice(a, max(b - k + 1, a)) for k in rolls}
