@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TextSlice, per_text
+from .common import TextSlice, distinct, per_text
 from .units import UnitCache
 
 SPACE_MARK = "▁"
@@ -86,8 +86,8 @@ class PieceModel:
         lens = np.fromiter(map(len, units), np.int64, len(units))
         text = "".join(units)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        distinct, back = np.unique(codes, return_inverse=True)
-        sym = np.array([self.chars.get(chr(c), int(self.other)) for c in distinct], np.int64)[back]
+        known, back = np.unique(codes, return_inverse=True)
+        sym = np.array([self.chars.get(chr(c), int(self.other)) for c in known], np.int64)[back]
         code, unit = codes.astype(np.int64), np.repeat(np.arange(len(units)), lens)
         done_sym, done_code, done_unit = [], [], []
         rank, res = self._all_pairs(sym, unit)
@@ -119,7 +119,7 @@ class PieceModel:
             keep[at + 1] = False
             moved = np.cumsum(keep) - 1
             sym, code, unit, rank, res = (x[keep] for x in (sym, code, unit, rank, res))
-            near = np.unique(np.r_[moved[at], np.maximum(moved[at] - 1, 0)])
+            near = distinct(np.r_[moved[at], np.maximum(moved[at] - 1, 0)])
             rank[near], res[near] = self._pairs_at(sym, unit, near)
         sym, code, unit = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (done_sym, done_code, done_unit))
         by = np.argsort(unit, kind="stable")
