@@ -265,7 +265,7 @@ class TextEncoder:
 
 
 #: Units that are remembered; a single slice can go beyond.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 700_000
 _ODD = np.zeros(256, bool)
 _ODD[[*range(0x00, 0x09), *range(0x0B, 0x0D), *range(0x0E, 0x20), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
 # 0: white space, 1: letters, all bytes beyond ASCII among them, 2: the rest.

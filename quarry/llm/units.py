@@ -68,7 +68,7 @@ class ShortKeys:
     """
 
     LONGEST = 15
-    _BITS = 21
+    _BITS = 20
 
     def __init__(self) -> None:
         self.clear()
