@@ -1,13 +1,18 @@
-"""Masked pseudo-likelihood by a bidirectional window network.
+"""Masked pseudo-likelihood: a bidirectional window network, with the counts of all words and word contexts.
 
-The network predicts every token of a text from the tokens on both sides of it: the neighbours' embeddings, one table
-for each side, add up to a hidden layer, from which a softmax over all token classes follows. A document's score is
-the sum of the log-probabilities of its tokens, each given its neighbours.
+The network predicts the class of every token from the classes on both sides of it: the neighbours' embeddings, one
+table for each side, add up to a hidden layer, from which a softmax over all classes follows. The most frequent words
+have a class of their own, the others share classes by a hash, and one class stands for the text's ends. It is trained
+on the counts of all (left, token, right) classes of the corpus, of which there are CLASSES^3 at most.
 
-Tokens are words; the most frequent of the corpus have a class of their own, the others share classes by a hash, and
-one class stands for the text's ends. The network is trained on the counts of all (left, token, right) in the corpus,
-which is all that its likelihood depends on: they are added up over all documents, so training sees every token, and
-there are at most CLASSES^3 of them however large the corpus is.
+What goes beyond those classes comes from counts that grow with the corpus and lie in partitions, by a hash:
+
+* contexts: where a neighbour shares its class, the token's class is predicted from what stands between the same two
+  words elsewhere, with the network's distribution worth PRIOR observations;
+* words: a token that shares its class has its own probability within it, from the counts of all words, with a
+  spelling of equally likely bytes for what is new. Its weight is the number of the class's different words.
+
+A document's score is the sum of the log-probabilities of its tokens, each given its neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, TextSlice, per_text, text_slices, word_hashes, words
+from .common import LOWER, TextSlice, materialise, mix, per_text, text_slices, word_hashes, words
 
 CLASSES, SHARED = 160, 32
 #: Class 0 is the end of a text; then the frequent words; then the shared classes.
@@ -27,17 +32,72 @@ FREQUENT = CLASSES - SHARED - 1
 HIDDEN, STEPS, RATE = 32, 150, 0.03
 #: Distinct words that a task holds before it passes their counts on.
 _HELD = 1 << 20
-
-
-def _hashes(part: TextSlice) -> tuple[np.ndarray, np.ndarray]:
+#: What the network's distribution counts for in a context of words.
+PRIOR = 2.0
+#: Partitions of the counts, more where one would hold over 4 million tokens; bytes of text that are dealt out at once.
+_BUCKETS, _BUCKET_BITS, _DEALT = 128, 22, 1 << 22
+#: Rows whose parts of the score travel together.
+_BLOCK_BITS = 12
+_COUNTED, _ASKED = 1, 2
+#: Bytes of a hash that travel; its bucket tells more of it.
+_KEY_BYTES = 5
+
+
+def _tokens(part: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths of the words, and rows + 1 bounds."""
     data, at = part.flat()
     data = LOWER[data]
     starts, ends, bounds = words(data, at)
-    return word_hashes(data, starts, ends), bounds
+    return word_hashes(data, starts, ends), ends - starts, bounds
 
 
-def frequent_words(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The hashes of the most frequent words of all documents; ties by hash."""
+def _hashes(part: TextSlice) -> tuple[np.ndarray, np.ndarray]:
+    h, _, bounds = _tokens(part)
+    return h, bounds
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold them all, compressed: the width, the size, the content."""
+    kind = next(k for k in (np.uint8, np.uint16, np.int64) if k is np.int64 or (x.min() >= 0 and x.max() <= np.iinfo(k).max))
+    raw = x.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    raw = pa.decompress(b[5:], int.from_bytes(b[1:5], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 8: np.int64}[b[0]]).astype(np.int64)
+
+
+def _packed_classes(codes: np.ndarray) -> bytes:
+    return _packed(np.concatenate([codes // CLASSES**2, codes // CLASSES % CLASSES, codes % CLASSES]))
+
+
+def _unpacked_classes(b: bytes) -> np.ndarray:
+    left, token, right = _unpacked(b).reshape(3, -1)
+    return (left * CLASSES + token) * CLASSES + right
+
+
+def _short(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // _KEY_BYTES, 8), np.uint8)
+    out[:, :_KEY_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, _KEY_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+def _beside(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands left and right of each token; 0 at the ends of a text."""
+    left, right = np.zeros_like(x), np.zeros_like(x)
+    left[1:], right[:-1] = x[:-1], x[1:]
+    some = bounds[:-1] < bounds[1:]
+    left[bounds[:-1][some]], right[bounds[1:][some] - 1] = 0, 0
+    return left, right
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the hash and the count of every word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -57,7 +117,15 @@ def frequent_words(docs: DataFrame, text: str = "text") -> np.ndarray:
         if len(keys):
             yield held()
 
-    found = docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The hashes of the most frequent words of all documents; ties by hash."""
+    return _most_frequent(vocabulary(docs, text))
+
+
+def _most_frequent(found: DataFrame) -> np.ndarray:
     top = found.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.array([r["word"] for r in top], np.int64).view(np.uint64)
 
@@ -80,10 +148,7 @@ class Classes:
         """left * CLASSES^2 + token * CLASSES + right for each token, and rows + 1 bounds."""
         h, bounds = _hashes(part)
         c = self.of(h)
-        left, right = np.zeros_like(c), np.zeros_like(c)
-        left[1:], right[:-1] = c[:-1], c[1:]
-        some = bounds[:-1] < bounds[1:]
-        left[bounds[:-1][some]], right[bounds[1:][some] - 1] = 0, 0
+        left, right = _beside(c, bounds)
         return (left * CLASSES + c) * CLASSES + right, bounds
 
 
@@ -158,42 +223,142 @@ class WindowNetwork:
 
 
 class Model:
-    """A trained network with its classes; the table of log-probabilities is made where it is used."""
+    """A trained network with its classes, and the documents whose words and contexts are counted where they are asked for.
+
+    totals and kinds are the tokens and the different words of each shared class.
+    """
 
-    def __init__(self, classes: Classes, network: WindowNetwork):
-        self.classes, self.network = classes, network
+    def __init__(self, classes: Classes, network: WindowNetwork, docs: DataFrame, totals: np.ndarray, kinds: np.ndarray):
+        self.classes, self.network, self.docs, self.totals, self.kinds = classes, network, docs, totals, kinds
 
     def table(self) -> np.ndarray:
         if not hasattr(self, "_table"):
             self._table = self.network.log_probabilities().ravel()
         return self._table
 
+    def of_contexts(self, keys: np.ndarray, codes: np.ndarray, counted: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """What each asked token gains on the network; one that is counted too is left out of its own counts."""
+        _, group = np.unique(keys, return_inverse=True)
+        _, pair = np.unique(group * CLASSES + codes // CLASSES % CLASSES, return_inverse=True)
+        all_, same = np.bincount(group, counted)[group][asked], np.bincount(pair, counted)[pair][asked]
+        own, prior = counted[asked], self.table()[codes[asked]].astype(np.float64)
+        return np.log(same - own + PRIOR * np.exp(prior)) - np.log(all_ - own + PRIOR) - prior
+
+    def of_words(self, keys: np.ndarray, lengths: np.ndarray, counted: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """The log-probability of each asked token within its class; likewise."""
+        _, group = np.unique(keys, return_inverse=True)
+        own, shared = counted[asked], (keys[asked] % np.uint64(SHARED)).astype(np.int64)
+        n, weight = np.bincount(group, counted)[group][asked] - own, self.kinds[shared] + 1.0
+        new = np.log(weight) + np.log(SHARED) - (lengths[asked] + 1.0) * np.log(257)
+        return np.where(n > 0, np.logaddexp(np.log(np.maximum(n, 1)), new), new) - np.log(self.totals[shared] - own + weight)
+
     def __getstate__(self) -> dict:
-        return {"classes": self.classes, "network": self.network}
+        return {k: getattr(self, k) for k in ("classes", "network", "totals", "kinds")}
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Fits the network to all tokens of docs. Without any it stays as it was drawn."""
     named = docs.select(F.col(f"`{text}`").alias(text))
-    classes = Classes(frequent_words(named, text))
-    return Model(classes, WindowNetwork().fit(context_counts(named, classes, text)))
+    found = materialise(vocabulary(named, text), "words")
+    frequent = _most_frequent(found)
+    classes = Classes(frequent)
+    counts = context_counts(named, classes, text)
+    kinds = np.zeros(SHARED, np.int64)
+    for r in found.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("c")).count().collect():  # one row a class
+        kinds[r["c"]] = r["count"]
+    kinds -= np.bincount((frequent % np.uint64(SHARED)).astype(np.int64), minlength=SHARED)
+    totals = counts.sum(axis=(0, 1), dtype=np.float64)[CLASSES - SHARED :]
+    return Model(classes, WindowNetwork().fit(counts), named.select(F.col(f"`{text}`").alias("_text")), totals, kinds)
+
 
+def _dealt(docs: DataFrame, shared: object, buckets: int, role: int) -> DataFrame:
+    """The tokens of docs (_row, _text) that need counts, packed by bucket: contexts first, then words."""
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value.classes
+        for batch in batches:
+            for part in text_slices(batch, "_text", _DEALT):
+                h, lengths, bounds = _tokens(part)
+                c = classes.of(h)
+                (lw, rw), (lc, rc) = _beside(h, bounds), _beside(c, bounds)
+                row = np.repeat(part.batch.column("_row").to_numpy(), np.diff(bounds))
+                rare = CLASSES - SHARED
+                at = np.flatnonzero((lc >= rare) | (rc >= rare))
+                contexts = (mix(mix(lw[at]) * np.uint64(3) + rw[at]), (lc * CLASSES + c)[at] * CLASSES + rc[at], row[at])
+                at = np.flatnonzero(c >= rare)
+                out = []
+                for kind, (keys, aux, rows, packed) in enumerate(((*contexts, _packed_classes), (h[at], lengths[at], row[at], _packed))):
+                    # A hash of its own, as words that share a class have their lowest bits in common.
+                    bucket = (mix(keys + np.uint64(7)) % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    keys, aux, rows = keys[order], aux[order], rows[order]
+                    for b in np.flatnonzero(np.diff(ends)).tolist():
+                        i = slice(ends[b], ends[b + 1])
+                        steps = np.diff(rows[i], prepend=rows[i.start])  # small but where partitions meet
+                        out.append((kind * buckets + b, role, int(rows[i.start]), _short(keys[i]), packed(aux[i]), _packed(steps)))
+                if out:
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "role", "first", "keys", "aux", "steps"])
+
+    return docs.select("_row", "_text").mapInArrow(run, "bucket int, role int, first long, keys binary, aux binary, steps binary")
+
+
+def _counted_parts(dealt: DataFrame, shared: object, buckets: int) -> DataFrame:
+    """(_row, part): what the counts add to the score of each row that has such tokens."""
+    named = ["block", "rows", "parts"]
+
+    def answer(group: pa.Table) -> pa.Table:
+        m = shared.value
+        columns = {n: group.column(n).to_pylist() for n in ("keys", "aux", "steps", "first", "role")}
+        by_context = group.column("bucket")[0].as_py() < buckets
+        keys = np.concatenate([_long(x) for x in columns["keys"]])
+        aux = np.concatenate([(_unpacked_classes if by_context else _unpacked)(x) for x in columns["aux"]])
+        rows = np.concatenate([np.cumsum(_unpacked(x)) + first for x, first in zip(columns["steps"], columns["first"], strict=True)])
+        role = np.repeat(columns["role"], [len(x) // _KEY_BYTES for x in columns["keys"]])
+        counted, asked = (role & _COUNTED).astype(np.float64), (role & _ASKED) > 0
+        gain = (m.of_contexts if by_context else m.of_words)(keys, aux, counted, asked)
+        some, back = np.unique(rows[asked], return_inverse=True)
+        part, block = np.bincount(back, gain, len(some)), some >> _BLOCK_BITS
+        cuts = np.r_[np.flatnonzero(np.diff(block, prepend=-1)), len(block)] if len(block) else np.zeros(1, np.int64)
+        out = [(int(block[a]), _packed(some[a:b] - (some[a] >> _BLOCK_BITS << _BLOCK_BITS)), part[a:b].astype(np.float32).tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=named)
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = np.concatenate([_unpacked(x) for x in group.column("rows").to_pylist()]) + (group.column("block")[0].as_py() << _BLOCK_BITS)
+        parts = np.concatenate([np.frombuffer(x, np.float32) for x in group.column("parts").to_pylist()]).astype(np.float64)
+        order = np.lexsort((parts, rows))  # one order of adding up, however the buckets arrive
+        some, back = np.unique(rows[order], return_inverse=True)
+        return pa.table([pa.array(some), pa.array(np.bincount(back, parts[order]))], names=["_row", "part"])
+
+    answers = dealt.groupBy("bucket").applyInArrow(answer, "block long, rows binary, parts binary")
+    return answers.groupBy("block").applyInArrow(add, "_row long, part double")
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", seen: bool = False) -> DataFrame:
     """(key, n_tokens, pseudo_log_likelihood, mean_log_probability) of each row of docs.
 
     Tokens are runs of bytes other than space and \\t \\n \\v \\f \\r, A-Z lower-cased; all of a text counts. A text that
     is null, empty or without tokens has a sum of 0 and a null mean. Null keys and repeated rows pass through; other
-    columns are not read.
+    columns are not read. seen says that docs are those of the training: then each token is left out of the counts that
+    predict it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    # Written once, so that a row keeps its number.
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "rows", "zstd")
 
     def work(part: TextSlice) -> list[pa.Array]:
         m = shared.value
         contexts, bounds = m.classes.contexts(part)
         total = np.r_[0, np.cumsum(m.table()[contexts], dtype=np.float64)]
-        sums, n = total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)
-        mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-        return [pa.array(n), pa.array(sums), mean]
-
-    return per_text(docs, [key], text, "n_tokens long, pseudo_log_likelihood double, mean_log_probability double", work)
+        return [pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]])]
+
+    n_tokens = int(model.totals.sum())
+    buckets = max(1, min(_BUCKETS, n_tokens >> 10), n_tokens >> _BUCKET_BITS)
+    dealt = _dealt(rows, shared, buckets, _COUNTED | _ASKED if seen else _ASKED)
+    if not seen:
+        dealt = dealt.union(_dealt(model.docs.withColumn("_row", F.lit(0).cast("long")), shared, buckets, _COUNTED))
+    by_network = per_text(rows, ["_row", "_key"], "_text", "n_tokens long, by_network double", work)
+    whole = by_network.join(_counted_parts(dealt, shared, buckets), "_row", "left").withColumn("_sum", F.col("by_network") + F.coalesce("part", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("_sum") / F.col("n_tokens"))
+    return whole.select(F.col("_key").alias(key), "n_tokens", F.col("_sum").alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))

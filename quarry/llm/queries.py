@@ -35,7 +35,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs))
+    return lm_score.score(docs, lm_score.train(docs), seen=True)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
