@@ -376,6 +376,18 @@ def merge_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.merged(first, second).limit(200).select("page_or_sheet", "source_rank", "seq")  # the first of the order
 
 
+@_query("""select page_or_sheet, source_rank::int as source_rank, seq from (
+    select turn::varchar as page_or_sheet, 0 as source_rank, conv_id as seq from conversations
+    union all select case when page_id % 2 = 0 then ' ' || page_id || ' ' else url end, 1, page_id from pages)
+    order by coalesce(try_cast(trim(page_or_sheet) as int), 0), source_rank, seq, page_or_sheet""")
+def merge_elements_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the merged order."""
+    first = _t(spark, sf_dir, "conversations").select(F.col("turn").cast("string").alias("page_or_sheet"), F.col("conv_id").alias("seq"))
+    label = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit(" "))).otherwise(F.col("url"))
+    second = _t(spark, sf_dir, "pages").select(label.alias("page_or_sheet"), F.col("page_id").alias("seq"))
+    return elements.merged(first, second).select("page_or_sheet", "source_rank", "seq")
+
+
 def _event_kind() -> Column:
     return F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "modify").when(F.col("event_type") == "error", "delete").otherwise("scan")
 _KIND_SQL = "case event_type when 'click' then 'create' when 'view' then 'modify' when 'error' then 'delete' else 'scan' end"
