@@ -1,6 +1,6 @@
 """Personal data: plain patterns, and offset-preserving deobfuscation for what is disguised.
 
-Three transducers rewrite a text: look-alike characters become ASCII, runs of spelled digits become digits, and
+Three transducers rewrite a text: look-alike characters become ASCII, spelled digits become digits, and
 written-out or bracketed "at" and "dot" become @ and full stops. Each keeps, for every character that it writes, the
 source characters that it stands for. The patterns run on the rewritten text, and what they find there is mapped back.
 """
@@ -95,16 +95,21 @@ def _one(ch: str) -> str | None:
 
 
 _known: dict[str, str | None] = {}
-# Blocks that can hold such characters; letters with accents lie outside.
-_FOREIGN = re.compile(r"[­Ͱ-ԯ٠-٩۰-۹०-९​-‍‐‑–․⁠⁰-ₜ①-⓪。﹢﹫﻿！-｡\U0001d400-\U0001d7ff]")
+
+
+def _ascii_of(ch: str) -> str | None:
+    if ch not in _known:
+        _known[ch] = _one(ch)
+    return _known[ch]
+
 
 # Names of digits.
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAME = "|".join(_NAMES)
-#: So many digits in a row at least are taken for a number, not for prose.
-LEAST_SPELLED = 7
-_SPELLED = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:(?:{_NAME})[\s,-]+){{{LEAST_SPELLED - 1},}}(?:{_NAME})\b")
-_WORD = re.compile(r"[A-Za-z]+")
+_UNIT = re.compile(rf"(?i)\b(?:{_NAME}|plus)\b|[0-9]+")
+_GAP = re.compile(r"[\s,-]+")
+#: The fewest digits of any identifier.
+_LEAST_DIGITS = 4
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _DOT_SIGN = rf"(?:\s*{_OPEN}(?:dot|\.){_CLOSE}\s*|\s+dot\s+)"
 _AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:\s*{_OPEN}(?:at|@){_CLOSE}\s*(?=[A-Za-z0-9-])|\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT_SIGN}[A-Za-z0-9]))")
@@ -133,24 +138,34 @@ class Rewritten:
         return self
 
 
+def _foreign(t: str) -> set[str]:
+    """The characters outside ASCII that stand for ASCII ones or for none."""
+    return set() if t.isascii() else {ch for ch in set(t) if ch > "\x7f" and _ascii_of(ch) is not None}
+
+
 def characters(r: Rewritten) -> Rewritten:
-    edits = []
-    for m in _FOREIGN.finditer(r.text):
-        ch = m[0]
-        if ch not in _known:
-            _known[ch] = _one(ch)
-        if (new := _known[ch]) is not None:
-            edits.append((m.start(), m.end(), new))
-    return r.replace(edits)
+    some = _foreign(r.text)
+    return r.replace([(i, i + 1, _known[ch]) for i, ch in enumerate(r.text) if ch in some]) if some else r
 
 
 def spelled_digits(r: Rewritten) -> Rewritten:
-    edits = []
-    for m in _SPELLED.finditer(r.text):
-        names = list(_WORD.finditer(r.text, m.start(), m.end()))
-        for w, after in zip(names, [*names[1:], None], strict=True):
-            # What parts two digits goes with the first of them.
-            edits.append((w.start(), after.start() if after else w.end(), _NAMES.get(w[0].lower(), "+")))
+    """Names of digits become digits however few they are, also among digits; the patterns tell numbers from prose."""
+    edits, units = [], list(_UNIT.finditer(r.text))
+    for w, after in zip(units, [*units[1:], None], strict=False):
+        digits, end = r.text[w.start()].isdigit(), w.end()
+        joined = after is not None and _GAP.fullmatch(r.text, end, after.start()) is not None
+        name = "" if digits else _NAMES.get(unicodedata.normalize("NFKC", w[0]).lower(), "+")
+        nearby = joined and r.text[after.start()].isdigit()
+        if name == "+":
+            if joined and "," not in r.text[end : after.start()]:
+                edits.append((w.start(), after.start(), "+"))
+            continue
+        following = joined and not nearby and after[0].lower() != "plus"
+        if not digits:
+            # What parts two names goes with the first of them.
+            edits.append((w.start(), after.start() if following else end, name))
+        if joined and (following if digits else nearby) and after.start() - end > 1:
+            edits.append((end, after.start(), " "))
     return r.replace(edits)
 
 
@@ -161,25 +176,27 @@ def written_signs(r: Rewritten) -> Rewritten:
 
 def disguised_spans(t: str, plain: list[Span]) -> list[Span]:
     """What only the rewritten text shows, as spans of the source; one that widens a plain span counts."""
-    low = t.lower()
-    foreign = not t.isascii() and _FOREIGN.search(t) is not None
+    low, foreign = t.lower(), bool(_foreign(t))
     # Digits may be spelled in look-alike letters too, so foreign characters always lead on.
-    if not foreign and sum(low.count(n) for n in _NAMES) < LEAST_SPELLED and "dot" not in low and not _BRACKETED.search(t):
-        return []
-    r = Rewritten(t)
-    if foreign:
-        characters(r)
-    spelled_digits(r)
-    written_signs(r)
-    if r.text == t:
+    names = sum(low.count(n) for n in _NAMES)
+    spelled = foreign or "plus" in low or (names and names + len(_DIGIT.findall(t)) >= _LEAST_DIGITS)
+    if not foreign and not spelled and "dot" not in low and not _BRACKETED.search(t):
         return []
     known = {k: [(a, b) for kind, a, b in plain if kind == k] for k in KINDS}
-    found = []
-    for kind, a, b in plain_spans(r.text):
-        a, b = r.start[a], r.end[b - 1]
-        if not any(x <= a and b <= y for x, y in known[kind]):
-            found.append((kind, a, b))
-    return found
+    found, read = set(), {t}
+    # Names beside a number may be prose, so the text is read with them and with their digits.
+    for steps in ((characters, written_signs), (characters, spelled_digits, written_signs))[: 2 if spelled else 1]:
+        r = Rewritten(t)
+        for step in steps:
+            step(r)
+        if r.text in read:
+            continue
+        read.add(r.text)
+        for kind, a, b in plain_spans(r.text):
+            a, b = r.start[a], r.end[b - 1]
+            if not any(x <= a and b <= y for x, y in known[kind]):
+                found.add((kind, a, b))
+    return sorted(found, key=_place)
 
 
 def _join(spans: list[Span]) -> str:

@@ -63,3 +63,22 @@ def test_odd_input(odd_docs, no_docs):
     assert clean.columns == odd_docs.columns
     assert {r["doc_id"]: r["text"] for r in clean.collect()}[9] == "Mail me: [EMAIL] or [PHONE] now"
     assert pii.find_personal_data(no_docs).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text,kind,source",
+    [
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("call plus one five five five 123 4567 890 now", "phone", "plus one five five five 123 4567 890"),
+        ("card 4111 one one one one 1111 1111 ok", "card", "4111 one one one one 1111 1111"),
+        ("card 4111, one one one one, 1111 1111 ok", "card", "4111, one one one one, 1111 1111"),
+        ("host ๑๙๒.168.1.1 up", "ip", "๑๙๒.168.1.1"),  # Thai digits
+        ("host ১৯২.168.1.1 up", "ip", "১৯২.168.1.1"),  # Bengali digits
+        ("it is jo\u210en@corp.org there", "email", "jo\u210en@corp.org"),
+        ("it is v\u2170c@corp.org there", "email", "v\u2170c@corp.org"),
+        ("card ４１１１ 1111 1111 1111 one time", "card", "４１１１ 1111 1111 1111"),  # the name is no part of it
+    ],
+)
+def test_short_runs_mixed_numbers_and_other_scripts(text, kind, source):
+    spans = pii.disguised_spans(text, pii.plain_spans(text))
+    assert (kind, source) in [(k, text[a:b]) for k, a, b in spans]
