@@ -24,10 +24,11 @@ def char_windows(text: str, size: int, overlap: int, tail: str = "reference") ->
     """The (start, end) of each window that isn't blank.
 
     tail "reference" goes on to the last character in ever shorter windows, as a window starts at most `overlap` before
-    the end of the one before, and one further at least; "stop" ends with the first window that reaches the text's end.
+    the end of the one before, and one further at least, and ends with MOST_CHUNKS windows, as the reference does; "stop"
+    ends with the first window that reaches the text's end, however many they are.
     """
     n, start, count = len(text), 0, 0
-    while start < n and count < MOST_CHUNKS:
+    while start < n and (tail == "stop" or count < MOST_CHUNKS):
         end = min(start + size, n)
         if end < n:
             low = start + max(size // 2, 1)

@@ -70,3 +70,10 @@ def test_chunk_elements(spark):
     df = spark.createDataFrame([("p", "T", [("heading_1", "H", "H", None, "", ""), ("paragraph", "body", "H", None, "", None)]), ("q", "T", []), ("r", None, None)], f"file_path string, title string, elements {kind}")
     rows = c.chunk_elements(df).collect()
     assert [(r["file_path"], r["text"], r["element_type"], r["page_or_sheet"]) for r in rows] == [("p", "H\n\nbody", "heading_1", "")]
+
+
+def test_stop_runs_to_the_end_of_a_long_text():
+    t = "x" * 30_000
+    spans = list(c.char_windows(t, 2, 0, "stop"))
+    assert len(spans) == 15_000 > c.MOST_CHUNKS and spans[-1] == (29_998, 30_000)
+    assert len(list(c.char_windows(t, 2, 0))) == c.MOST_CHUNKS
