@@ -11,11 +11,17 @@ MOST_COLUMNS, MOST_HEADERS = 26, 6
 
 
 def column_letter(n: Column) -> Column:
-    """1 is A, 27 is AA; up to 26^3 + 26^2 + 26, beyond which sheets don't go; A for 0 and less."""
-    n = n.cast("int")
-    letter = lambda x: F.char(F.pmod(x, F.lit(26)) + 65)
-    two, three = F.floor((n - 1) / 26).cast("int"), F.floor((n - 27) / 676).cast("int")
-    return F.when(n <= 0, "A").otherwise(F.concat(F.when(n > 702, letter(three - 1)).otherwise(""), F.when(n > 26, letter(two - 1)).otherwise(""), letter(n - 1)))
+    """1 is A, 27 is AA, and so on for every number; A for 0 and less."""
+
+    def step(x: Column, _: Column) -> Column:
+        left = x["n"] - 1
+        digit = F.char(F.pmod(left, F.lit(26)) + 65)
+        more = F.struct(F.call_function("div", left, F.lit(26).cast("long")).alias("n"), F.concat(digit, x["s"]).alias("s"))
+        return F.when(x["n"] > 0, more).otherwise(x)
+
+    # 14 letters hold every long.
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("s"))
+    return F.when(n <= 0, "A").otherwise(F.when(n.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda x: x["s"])))
 
 
 def is_numeric(cell: Column) -> Column:

@@ -466,7 +466,7 @@ def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     (case when p_partkey > 702 then chr(65 + (((p_partkey - 703) // 676) % 26)::int) else '' end) || (case when p_partkey > 26 then chr(65 + (((p_partkey - 27) // 26) % 26)::int) else '' end)
     || chr(65 + ((p_partkey - 1) % 26)::int) end as letter from part where p_partkey <= 18278""")
 def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").where("p_partkey <= 18278").select("p_partkey", sheets.column_letter(F.col("p_partkey")).alias("letter"))
+    return _t(spark, sf_dir, "part").select("p_partkey", sheets.column_letter(F.col("p_partkey")).alias("letter"))
 
 
 @_query("""with s as (select p_brand, count(*) + 1 as n, string_agg(p_name || ' | ' || p_type || ' | ' || p_size, chr(10) order by p_partkey) as body,

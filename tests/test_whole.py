@@ -14,3 +14,18 @@ tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_all_merged_rows_come(spark):
     n = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("conversations", "pages"))
     assert QUERIES["merge_elements_whole"](spark, DATA).count() == n
+
+
+def test_columns_of_any_number(spark):
+    from quarry.functions import sheets
+
+    def letter(n):
+        s = ""
+        while n > 0:
+            n, r = divmod(n - 1, 26)
+            s = chr(65 + r) + s
+        return s or "A"
+
+    ns = [-1, 0, 1, 26, 27, 702, 703, 18278, 18279, 20000, 475254, 475255, 2**62]
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert {r[0]: r[1] for r in df.select("n", sheets.column_letter(df["n"])).collect()} == {n: letter(n) for n in ns}
