@@ -215,6 +215,15 @@ def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(rich, 256).alias("digest"), folds.input_text(first, F.col("source"), F.left("text", F.lit(20))).alias("input"))
 
 
+@_query("""select doc_id, sha256(case when source <> '' then 'Document: ' || source || ' | ' else '' end || 'Section: ' || lang || ' | Type: table | Summary: ' || n_chars || ' | ' || left(text, 2000)) as digest,
+    coalesce(nullif(case when lang = 'en' then '' else lang end, ''), nullif(source, ''), text, '') as input from documents""")
+def embedding_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = F.concat(F.lit("Summary: "), F.col("n_chars").cast("string"))
+    rich = text.embedding_text(F.col("source"), F.col("lang"), F.col("text"), F.lit("table"), extra)
+    first = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(rich, 256).alias("digest"), folds.input_text(first, F.col("source"), F.col("text")).alias("input"))
+
+
 @_query("""select conv_id, turn, i - 1 as pos, s as sentence from (select conv_id, turn, unnest(x) as s, generate_subscripts(x, 1) as i
     from (select conv_id, turn, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as x from conversations))""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +246,15 @@ def figure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", first.alias("figure"), other.alias("other"))
 
 
+@_query("""select conv_id, turn, coalesce('Description: ' || nullif(case when turn = 1 then '' else role end, '') || chr(10), '') || 'Caption: ' || text as figure,
+    case when turn = 0 then '[Visual element — ' || role || ']' else 'Text in image: ' || role end as other from conversations""")
+def figure_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none, role = F.lit(""), F.col("role")
+    first = text.figure_text(none, F.when(F.col("turn") == 1, "").otherwise(role), F.col("text"), none, none)
+    other = text.figure_text(none, none, none, F.when(F.col("turn") == 0, "").otherwise(role), role)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", first.alias("figure"), other.alias("other"))
+
+
 # Chunks
 
 
@@ -303,6 +321,20 @@ def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("conv_id", F.posexplode(folds.breadcrumbs(styles, texts)).alias("pos", "path")).withColumn("pos", F.col("pos").cast("long"))
 
 
+@_query("""with recursive e as (select conv_id, row_number() over (partition by conv_id order by turn, text) as i,
+      case when turn = 0 then 0 when role = 'user' then 1 when length(text) % 3 = 0 then 2 end as level, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations),
+    f(conv_id, i, stack) as (
+      select conv_id, 0::bigint, []::varchar[] from (select distinct conv_id from e)
+      union all
+      select e.conv_id, e.i, case when level = 0 then [t] when level > 0 then list_concat(stack[1 : level - 1], [t]) else stack end from f join e on e.conv_id = f.conv_id and e.i = f.i + 1)
+    select conv_id, i - 1 as pos, sha256(array_to_string(stack, ' > ')) as path from f where i > 0""")
+def breadcrumb_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _turns(spark, sf_dir)
+    styles = F.transform("elements", lambda e: e["style"])
+    texts = F.transform("elements", lambda e: text.strip(e["text"]))
+    return docs.select("conv_id", F.posexplode(folds.breadcrumbs(styles, texts)).alias("pos", "path")).withColumns({"pos": F.col("pos").cast("long"), "path": F.sha2("path", 256)})
+
+
 @_query("""select conv_id, string_agg(x, ',' order by first) as extracted_by from (
     select conv_id, case when role = 'user' then 'docling' else 'easyocr' end as x, min(turn) as first from conversations group by all) group by conv_id""")
 def extractors_joined(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,3 +29,11 @@ def test_columns_of_any_number(spark):
     ns = [-1, 0, 1, 26, 27, 702, 703, 18278, 18279, 20000, 475254, 475255, 2**62]
     df = spark.createDataFrame([(n,) for n in ns], "n long")
     assert {r[0]: r[1] for r in df.select("n", sheets.column_letter(df["n"])).collect()} == {n: letter(n) for n in ns}
+
+
+@tables
+def test_whole_texts_reach_the_operators(spark):
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "text")
+    figures = QUERIES["figure_texts_whole"](spark, DATA).join(turns, ["conv_id", "turn"])
+    assert figures.where("endswith(figure, text)").count() == figures.count() > 0
+    assert {"breadcrumb_whole", "embedding_inputs_whole"} <= set(QUERIES)
