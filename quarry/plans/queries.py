@@ -83,6 +83,29 @@ def knn_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_batch(corpus, queries, 5).select("query_id", "vec_id", "rank", _rounded())
 
 
+def _batched_sql(d: str) -> str:
+    return f"""with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 50 = 0),
+    d as (select query_id, vec_id, {d} as d from embeddings, q),
+    r as (select *, row_number() over (partition by query_id order by d, vec_id) as rank from d)
+    select query_id, vec_id, rank::int as rank, round(d, 6) as distance from r where rank <= 5"""
+
+
+def _batched(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    corpus = _t(spark, sf_dir, "embeddings")
+    queries = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return knn.nearest_batch(corpus, queries, 5, metric).select("query_id", "vec_id", "rank", _rounded())
+
+
+@_query(_batched_sql("1 - list_cosine_similarity(embedding::double[], e)"))
+def knn_batched_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(spark, sf_dir, "cosine")
+
+
+@_query(_batched_sql("-list_dot_product(embedding::double[], e)"))
+def knn_batched_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(spark, sf_dir, "dot")
+
+
 @_query(f"""with q as (select embedding::double[] as e from embeddings where vec_id = {_PROBE}),
     r as (select vec_id, label, {_SQL_L2} as d, row_number() over (partition by label order by {_SQL_L2}, vec_id) as rank from embeddings, q)
     select label, vec_id, rank::int as rank, round(d, 6) as distance from r where rank <= 3""")

@@ -37,3 +37,10 @@ def test_whole_texts_reach_the_operators(spark):
     figures = QUERIES["figure_texts_whole"](spark, DATA).join(turns, ["conv_id", "turn"])
     assert figures.where("endswith(figure, text)").count() == figures.count() > 0
     assert {"breadcrumb_whole", "embedding_inputs_whole"} <= set(QUERIES)
+
+
+@tables
+@pytest.mark.parametrize("name", ["knn_batched_cosine", "knn_batched_dot"])
+def test_every_fiftieth_vector_is_a_query(spark, name):
+    ids = {r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in QUERIES[name](spark, DATA).collect()} == ids != set()
