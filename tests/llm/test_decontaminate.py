@@ -84,16 +84,56 @@ def test_parts_of_a_large_benchmark(spark, monkeypatch):
     assert sorted(map(tuple, d.matches(df, bench).collect())) == want
 
 
+def test_clean_in_parts(spark, monkeypatch):
+    docs, items = make()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(r["doc_id"] for r in d.clean(df, bench).collect())
+    monkeypatch.setattr(d, "PART_BYTES", 1500)
+    assert sorted(r["doc_id"] for r in d.clean(df, bench).collect()) == want
+
+
+def fingerprints(items, n):
+    return items.blocks[n].T.copy()
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     r = random.Random(2)
     items = d.Items([(i, " ".join(words(30, i))) for i in range(300)], 5, 0.8)
-    group = items.groups[30]
+    every = np.unpackbits(fingerprints(items, 30).view(np.uint8), axis=1)
     for i in range(0, 300, 7):
-        bits = group[i][2].copy()
+        bits = every[i].copy()
         for b in r.sample(range(d.BITS), d.RADIUS):
             bits[b] ^= 1
-        assert i in items.near(30, bits)
-        assert items.near(30, bits) == [j for j, g in enumerate(group) if (g[2] != bits).sum() <= d.RADIUS]
+        window, item = items.near(30, np.packbits(bits)[None].view(np.uint64))
+        assert i in item and not window.any()
+        assert item.tolist() == np.flatnonzero((every != bits).sum(axis=1) <= d.RADIUS).tolist()
+
+
+def test_the_index_prunes():
+    items = d.Items([(i, " ".join(words(30, i))) for i in range(2000)], 5, 0.8)
+    others = d.Items([(i, " ".join(words(30, 10**6 + i))) for i in range(200)], 5, 0.8)
+    window, _, _ = items.candidates(30, fingerprints(others, 30))
+    assert len(window) < 0.01 * 200 * 2000
+    assert sum(d.SHARES) + d.BLOCKS > d.RADIUS
+
+
+def test_rolling_fingerprints_are_those_of_the_windows():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 200).astype(np.uint64)
+    rolled = d.fingerprints(h, 26)
+    assert all((rolled[i] == d.fingerprints(h[i : i + 26], 26)[0]).all() for i in range(len(rolled)))
+
+
+def test_memory_of_a_benchmark():
+    import tracemalloc
+
+    texts = [(i, " ".join(words(random.Random(i).randrange(20, 60), i, 10**6))) for i in range(5000)]
+    size = sum(len(t) for _, t in texts)
+    tracemalloc.start()
+    items = d.Items(texts, 5, 0.8)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert items.ids and held < 8 * size
 
 
 def test_odd_input(spark, odd_docs, no_docs):
