@@ -133,7 +133,9 @@ def _power_table(n: int) -> np.ndarray:
 def distinct(x: np.ndarray) -> np.ndarray:
     """The sorted distinct values; np.unique() without further results takes a far slower way."""
     x = np.sort(x)
-    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

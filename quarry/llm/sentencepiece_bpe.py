@@ -5,14 +5,19 @@ character; each distinct unit is encoded once. All new units of a slice are merg
 their symbols, a segmented minimum finds each unit's best pair, and the leftmost occurrences merge at once; units
 with no pair left are taken out, the rest is compacted, until none remains.
 
+A round costs what is left of all units, so units of more than LONG symbols take rounds of their own that touch live
+pairs only: their symbols are linked lists in arrays, and the places of all pairs lie in buckets by rank. A round takes
+the bucket of the least rank, merges its places in all long units and puts the pairs that arise into their buckets.
+
 Several occurrences merge in one round only where that is exact: a piece is "calm" if no piece that has it as a part
 ranks before it, so that no merge beside one occurrence can come before the next occurrence. Of another piece only
-the leftmost occurrence merges in a round.
+the leftmost occurrence of a unit merges in a round.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -24,6 +29,8 @@ from .units import UnitCache
 
 SPACE_MARK = "▁"
 NONE = np.int64(1 << 40)
+#: Symbols of a unit beyond which it takes rounds over live pairs.
+LONG = 256
 _UNIT = re.compile(r" *[^ ]+| +")
 _loaded: dict[str, PieceModel] = {}
 
@@ -90,6 +97,11 @@ class PieceModel:
         sym = np.array([self.chars.get(chr(c), int(self.other)) for c in known], np.int64)[back]
         code, unit = codes.astype(np.int64), np.repeat(np.arange(len(units)), lens)
         done_sym, done_code, done_unit = [], [], []
+        if (lens > LONG).any():
+            long = np.repeat(lens > LONG, lens)
+            for done, x in zip((done_sym, done_code, done_unit), self._merge_long(sym[long], code[long], unit[long]), strict=True):
+                done.append(x)
+            sym, code, unit = sym[~long], code[~long], unit[~long]
         rank, res = self._all_pairs(sym, unit)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -125,6 +137,59 @@ class PieceModel:
         by = np.argsort(unit, kind="stable")
         return self._fall_back(sym[by], code[by], unit[by], len(units))
 
+    def _merge_long(self, sym: np.ndarray, code: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols that are left of long units, by rounds over buckets of live pairs."""
+        n = len(sym)
+        end = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[end], before[np.r_[0, end[:-1] + 1]] = -1, -1
+        rank, res = self._all_pairs(sym, unit)
+        alive = np.ones(n, bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        least: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] < NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            own = rank[at]
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True) if len(at) else ():
+                r = int(own[a])
+                if r not in buckets:
+                    buckets[r] = []
+                    heapq.heappush(least, r)
+                buckets[r].append(at[a:b])
+
+        put(np.arange(n))
+        while least:
+            r = heapq.heappop(least)
+            parts = buckets.pop(r)
+            at = parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
+            at = at[rank[at] == r]  # a pair that is gone has another rank or none
+            if not len(at):
+                continue
+            rest = at[:0]
+            if len(at) > 1:
+                place, begin, new_unit = np.arange(len(at)), np.arange(len(at)), np.ones(len(at), bool)
+                begin[1:][after[at[:-1]] == at[1:]] = 0
+                new_unit[1:] = unit[at[1:]] != unit[at[:-1]]
+                take = ((place - np.maximum.accumulate(begin)) % 2 == 0) & (new_unit | self.calm[res[at]])
+                rest, at = at[~take], at[take]
+            gone = after[at]
+            sym[at], code[at] = res[at], -1
+            alive[gone], rank[gone] = False, NONE
+            after[at] = after[gone]
+            follow = after[at]
+            some = follow >= 0
+            before[follow[some]] = at[some]
+            near = np.concatenate([at, before[at]])
+            near = distinct(near[near >= 0])
+            follow = after[near]
+            rank[near], res[near] = self.pairs(sym[near], sym[follow])
+            rank[near[follow < 0]] = NONE
+            put(distinct(np.concatenate([near, rest])) if len(rest) else near)
+        return sym[alive], code[alive], unit[alive]
+
     def _pairs_at(self, sym: np.ndarray, unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         after = np.minimum(at + 1, len(sym) - 1)
         rank, res = self.pairs(sym[at], sym[after])

@@ -7,8 +7,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Units kept per worker between slices; when full, the memory starts anew.
-CACHE_UNITS = 300_000
+#: Units, and characters of units, kept per worker between slices; when full, the memory starts anew.
+CACHE_UNITS, CACHE_CHARS = 300_000, 1 << 23
 
 
 class UnitCache:
@@ -22,13 +22,13 @@ class UnitCache:
     def _forget(self) -> None:
         self._known.clear()
         self._flat, self._used = np.empty(1 << 16, np.int32), 0
-        self._at, self._count = np.zeros(CACHE_UNITS + 1, np.int64), 0
+        self._at, self._count, self._chars = np.zeros(CACHE_UNITS + 1, np.int64), 0, 0
 
     def __call__(self, rows: list[list[str]], before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows with room for so many more before and after each row's, and rows + 1 offsets."""
         known = self._known
         fresh = [u for u in dict.fromkeys(chain.from_iterable(rows)) if u not in known]
-        if self._count + len(fresh) > CACHE_UNITS:
+        if self._count + len(fresh) > CACHE_UNITS or self._chars > CACHE_CHARS:
             self._forget()
             fresh = list(dict.fromkeys(chain.from_iterable(rows)))
         if fresh:
@@ -59,6 +59,7 @@ class UnitCache:
         self._at[self._count : self._count + len(fresh) + 1] = self._used + at
         self._known.update(zip(fresh, range(self._count, self._count + len(fresh)), strict=True))
         self._used, self._count = need, self._count + len(fresh)
+        self._chars += sum(map(len, fresh))
 
 
 class ShortKeys:

@@ -28,6 +28,30 @@ def test_equals_the_library(model):
     assert model.decode(want) == [model.lib.decode(x) for x in want]
 
 
+def test_long_units_equal_the_library(model):
+    import string
+
+    r, code = random.Random(9), string.ascii_letters + string.digits + "+/"
+    texts = ["".join(r.choice(code) for _ in range(n)) for n in (255, 256, 257, 1000, 60_000)]
+    texts += ["ab" * 700, "a" * 5001, "a" * 400 + "b" * 300, " " * 900 + "x" + " " * 300, "=" * 1000 + "-" * 333]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x4F00)) for _ in range(700)), "é" * 600 + "ßü" * 300]
+    for _ in range(150):
+        own = r.choice([["a", "b"], ["t", "h", "e", "i", "n"], ["the", "ing", "tion", "é", "0", "00", "==", "--", "_", "er"]])
+        texts.append("".join(r.choice(own) for _ in range(r.randrange(250, 700))))
+    texts.append(" ".join(texts[:4]) + " and " + texts[5])
+    assert ids(model, texts) == model.lib.encode(texts, add_bos=True, add_eos=True)
+    assert ids(model, texts[4:5]) == model.lib.encode(texts[4:5], add_bos=True, add_eos=True)
+
+
+def test_long_units_are_not_kept(model, monkeypatch):
+    from quarry.llm import units
+
+    monkeypatch.setattr(units, "CACHE_CHARS", 1000)
+    for i in range(5):
+        model.encode([f"{i}" * 900])
+    assert model.units._chars <= 2 * 901
+
+
 def test_a_full_memory_starts_anew(model, monkeypatch):
     from quarry.llm import units
 
