@@ -8,6 +8,7 @@ Ids are decoded in step over all blocks of a file, so that numpy handles thousan
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TextSlice, materialise, per_text
@@ -27,8 +28,9 @@ LONGEST = 18
 BLOCK = 128
 #: A file is closed once it holds so many ids; a document is never split.
 FILE_IDS = 1 << 19
-MAGIC = b"QHF1"
-_HEAD = struct.Struct("<4sIQQ")
+MAGIC = b"QHF2"
+#: The mark, the numbers of documents, ids and bytes of bits, and the bytes of the code book.
+_HEAD = struct.Struct("<4sIQQI")
 _encoders: dict[str, TextEncoder] = {}
 
 
@@ -115,37 +117,65 @@ def unpack(bits: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np
 
 def write_file(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     bits, offsets = pack(ids, codes, lengths)
+    book = zlib.compress(lengths.astype(np.uint8).tobytes())
     null = np.array([k is None for k in keys], np.uint8)
     known = np.array([k or 0 for k in keys], "<i8")
-    head = _HEAD.pack(MAGIC, len(keys), len(ids), len(bits))
-    return b"".join([head, null.tobytes(), known.tobytes(), sizes.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), bits])
+    head = _HEAD.pack(MAGIC, len(keys), len(ids), len(bits), len(book))
+    return b"".join([head, book, null.tobytes(), known.tobytes(), sizes.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), bits])
 
 
-def read_file(payload: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """The keys, sizes and ids of a file's documents."""
-    magic, docs, n, size = _HEAD.unpack_from(payload)
-    if magic != MAGIC:
-        raise ValueError("not a file of this format")
-    at = _HEAD.size
+class FileReader:
+    """Reads files, each by its own code book; the table of the last book is kept."""
 
-    def part(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(payload, kind, count, at)
-        at += found.nbytes
-        return found
+    def __init__(self) -> None:
+        self._book, self._table = b"", decode_table(np.zeros(1, np.uint8))
 
-    null, keys, sizes = part("u1", docs), part("<i8", docs), part("<u4", docs).astype(np.int64)
-    offsets = part("<u4", -(-n // BLOCK))
-    ids = unpack(payload[at : at + size], offsets, n, table)
-    return [None if x else k for x, k in zip(null.tolist(), keys.tolist(), strict=True)], sizes, ids
+    def __call__(self, payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        """The keys, sizes and ids of a file's documents."""
+        magic, docs, n, size, book = _HEAD.unpack_from(payload)
+        if magic != MAGIC:
+            raise ValueError("not a file of this format")
+        at = _HEAD.size
+        if payload[at : at + book] != self._book:
+            self._book = payload[at : at + book]
+            self._table = decode_table(np.frombuffer(zlib.decompress(self._book), np.uint8))
+        at += book
+
+        def part(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(payload, kind, count, at)
+            at += found.nbytes
+            return found
+
+        null, keys, sizes = part("u1", docs), part("<i8", docs), part("<u4", docs).astype(np.int64)
+        offsets = part("<u4", -(-n // BLOCK))
+        ids = unpack(payload[at : at + size], offsets, n, self._table)
+        return [None if x else k for x, k in zip(null.tolist(), keys.tolist(), strict=True)], sizes, ids
+
+
+# How the tokenizers prepare texts that TextEncoder has its own way for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _is_known(spec: dict) -> bool:
+    """Whether a tokenizer prepares texts in the way that the units are made for."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    bytes_only = len(parts) == 2 and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    by_pattern = parts[0].get("pattern") == {"Regex": _SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    model = spec.get("model") or {}
+    plain = model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout") and not model.get("ignore_merges")
+    marked = all(t["content"].startswith("<|") and not t["normalized"] for t in spec.get("added_tokens") or [])
+    return spec.get("normalizer") == _NORMALIZER and bytes_only and by_pattern and plain and marked and not spec.get("truncation") and not spec.get("padding") and not spec.get("post_processor")
 
 
 class TextEncoder:
     """Ids of whole texts, with the library called once for each distinct unit that is remembered.
 
-    The tokenizer drops white space, and no token spans it. In texts of ASCII and Latin-1 letters without apostrophes
+    This is for tokenizers that drop white space, so that no token spans it, as _is_known() checks. In texts of ASCII and Latin-1 letters without apostrophes
     it also parts every run of letters from what is beside it, so there runs of letters, and runs of neither letters
     nor white space, are units, in lower case as the tokenizer has them. Elsewhere units are what lies between spaces.
+    A tokenizer that prepares texts in another way gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -153,6 +183,8 @@ class TextEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self._tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self._by_units = _is_known(json.load(f))
         self.size = self._tok.get_vocab_size()
         suffix = self._tok.model.end_of_word_suffix or ""
         self._ends = np.zeros(self.size, bool)
@@ -164,7 +196,7 @@ class TextEncoder:
         self._keys.clear()
         self._long.clear()
         self._flat, self._used = np.empty(1 << 20, np.int32), 0
-        self._at, self._count = np.zeros(MOST_UNITS + 1, np.int64), 0
+        self._at, self._count, self._bytes = np.zeros(MOST_UNITS + 1, np.int64), 0, 0
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, and units + 1 offsets."""
@@ -199,11 +231,13 @@ class TextEncoder:
             self._at = np.concatenate([self._at, np.zeros(len(units), np.int64)])
         self._at[self._count : self._count + len(units) + 1] = self._used + at
         numbers = np.arange(self._count, self._count + len(units))
-        self._used, self._count = need, self._count + len(units)
+        self._used, self._count, self._bytes = need, self._count + len(units), self._bytes + sum(map(len, units))
         return numbers
 
     def __call__(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each closed by end_id, and rows + 1 offsets."""
+        if not self._by_units:
+            return self._whole(data, at, end_id)
         rows = len(at) - 1
         # Rows with any byte that the finer rule isn't made for take the plain one.
         odd = _ODD[data]
@@ -240,8 +274,14 @@ class TextEncoder:
             out[step + np.repeat(row, size)] = self._flat[step + shift]
         return out, offsets
 
+    def _whole(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        found = [[*e.ids, end_id] for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
+
     def _numbers(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        if self._count > MOST_UNITS // 2 and self._count + len(starts) > MOST_UNITS:
+        if self._bytes > MOST_BYTES or self._count > MOST_UNITS // 2 and self._count + len(starts) > MOST_UNITS:
             self._forget()
         number = np.full(len(starts), -1, np.int64)
         short = np.flatnonzero(lens <= ShortKeys.LONGEST)
@@ -264,8 +304,8 @@ class TextEncoder:
         return number
 
 
-#: Units that are remembered; a single slice can go beyond.
-MOST_UNITS = 700_000
+#: Units, and bytes of units, that are remembered; a single slice can go beyond.
+MOST_UNITS, MOST_BYTES = 700_000, 1 << 23
 _ODD = np.zeros(256, bool)
 _ODD[[*range(0x00, 0x09), *range(0x0B, 0x0D), *range(0x0E, 0x20), 0x27, 0x7F, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
 # 0: white space, 1: letters, all bytes beyond ASCII among them, 2: the rest.
@@ -346,8 +386,8 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, width: int, key: str) ->
     return ordered.mapInArrow(run, "shard int, file int, base long, n_tokens long, payload binary")
 
 
-def read_files(files: DataFrame, lengths: np.ndarray, key: str = "doc_id", values: bool = False) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32[, ids]) of each document in the files."""
+def read_files(files: DataFrame, key: str = "doc_id", values: bool = False) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32[, ids]) of each document in the files, from nothing but them."""
     spark = files.sparkSession
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row a partition
     first, rows = 0, []
@@ -357,10 +397,10 @@ def read_files(files: DataFrame, lengths: np.ndarray, key: str = "doc_id", value
     shards = F.broadcast(spark.createDataFrame(rows, "shard int, first long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = decode_table(lengths)
+        read_file = FileReader()
         for batch in batches:
             for base, payload in zip(batch.column("from").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                keys, sizes, ids = read_file(payload, table)
+                keys, sizes, ids = read_file(payload)
                 ends = np.cumsum(sizes)
                 wide = ids.astype("<u4")
                 cuts = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
@@ -374,8 +414,8 @@ def read_files(files: DataFrame, lengths: np.ndarray, key: str = "doc_id", value
     return placed.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * values)
 
 
-def store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """The written files of all documents, and the code book.
+def store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The written files of all documents.
 
     Documents lie in ascending order of key, those with a null key first; rows with one key in the order of their
     number of ids, then of their ids. A null or empty text has only its end id. No documents give no files. Columns
@@ -387,10 +427,4 @@ def store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", tex
     tokens = tokenise(named, tokenizer, end_id, key, text)
     tokens = materialise(tokens, "ids", "zstd")
     lengths = code_lengths(id_counts(tokens, width, size))
-    return materialise(write_files(tokens, lengths, width, key), "files", "uncompressed"), lengths
-
-
-def code_book(spark: SparkSession, lengths: np.ndarray) -> DataFrame:
-    """(id, length): all that a reader needs besides the files."""
-    used = np.flatnonzero(lengths)
-    return spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int")
+    return materialise(write_files(tokens, lengths, width, key), "files", "uncompressed")

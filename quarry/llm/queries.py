@@ -54,8 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, lengths = huffman_ids.store(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return huffman_ids.read_files(files, lengths)
+    return huffman_ids.read_files(huffman_ids.store(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,14 +38,44 @@ def test_files_hold_what_the_library_gives(spark, odd_docs, no_docs, tok):
     from tokenizers import Tokenizer
 
     path = tok("word_bpe_49k.json")
-    files, lengths = h.store(odd_docs, path, 1)
-    rows = h.read_files(files, lengths, values=True).orderBy("start").collect()
+    rows = h.read_files(h.store(odd_docs, path, 1), values=True).orderBy("start").collect()
     t = Tokenizer.from_file(path)
     want = sorted(((r["doc_id"], t.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in odd_docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), x[1]))
     assert [(r["doc_id"], r["ids"]) for r in rows] == want
     starts = np.r_[0, np.cumsum([len(x) for _, x in want])]
     assert [r["start"] for r in rows] == starts[:-1].tolist()
     assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
-    assert h.code_book(spark, lengths).count() == len({i for _, x in want for i in x})
-    files, lengths = h.store(no_docs, path, 1)
-    assert h.read_files(files, lengths).collect() == []
+    assert h.read_files(h.store(no_docs, path, 1)).collect() == []
+
+
+def test_a_file_is_read_alone():
+    ids = np.array([5, 5, 7, 5, 9, 9, 5] * 50, np.int64)
+    lengths = h.code_lengths(np.bincount(ids, minlength=30))
+    payload = h.write_file([3, None], np.array([100, 250]), ids, h.canonical_codes(lengths), lengths)
+    other = h.code_lengths(np.bincount(ids + 1, minlength=30))
+    second = h.write_file([4], np.array([350]), ids + 1, h.canonical_codes(other), other)
+    read = h.FileReader()
+    for p, keys, want in ((payload, [3, None], ids), (second, [4], ids + 1), (payload, [3, None], ids)):
+        got = read(p)
+        assert got[0] == keys and (got[2] == want).all()
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts(spark, odd_docs, tok):
+    from tokenizers import Tokenizer
+
+    path = tok("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = h.read_files(h.store(odd_docs, path, 50256), values=True).collect()
+    want = sorted(((r["doc_id"] or 0), t.encode(r["text"] or "", add_special_tokens=False).ids + [50256]) for r in odd_docs.collect())
+    assert sorted(((r["doc_id"] or 0), r["ids"]) for r in rows) == want
+
+
+def test_long_units_are_not_kept(tok, monkeypatch):
+    monkeypatch.setattr(h, "MOST_BYTES", 5000)
+    e = h.TextEncoder(tok("word_bpe_49k.json"))
+    assert e._by_units
+    for i in range(6):
+        text = (chr(97 + i) * 3000).encode()
+        got, at = e(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)
+        assert got[:-1].tolist() == e._tok.encode(text.decode(), add_special_tokens=False).ids and at[-1] == len(got)
+    assert e._bytes <= 9000
