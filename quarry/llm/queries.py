@@ -74,4 +74,8 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": license_scan.oracle_sql(), "op6_minhash_dedup": minhash_dedup.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle_sql(),
+    "op6_minhash_dedup": minhash_dedup.oracle_sql(),
+    "op8_quality_rules": quality_rules.oracle_sql(),
+}

@@ -27,6 +27,33 @@ def test_upper_bound_is_clopper_pearson():
     assert q.upper_bound(5, 5, 0.1) == q.upper_bound(0, 0, 0.1) == 1.0
 
 
+def test_few_failures_is_the_binomial_tail():
+    from math import exp, lgamma, log, log1p
+
+    for n in (1, 7, 230, 5000):
+        for bad in {0, 1, n // 50, n // 3, n - 1, n}:
+            for p in (0.0, 0.001, 0.02, 0.4, 0.97, 1.0):
+                want = 1.0 if bad >= n or p == 0 else 0.0 if p == 1 else sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(bad + 1))
+                assert abs(q.few_failures(bad, n, p) - want) < 1e-9, (bad, n, p)
+
+
+def test_equals_sql(spark):
+    import duckdb
+
+    r = random.Random(6)
+    texts = [" ".join(words(r.randrange(40, 150), i, 60)) + r.choice(["", " # $ %", "\na b\na b\nc", " x y z x y z"]) * r.randrange(9) for i in range(900)] + [None, "", "é ü\n\né ü"]
+    docs = spark.createDataFrame([(i, t, r.choice(["en", "en", "fr", "xx", None])) for i, t in enumerate(texts)] + [(None, texts[0], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(850)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", labels.toPandas())
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "cutoff"]
+    by = lambda x: (x[0] is not None, x)
+    want = sorted((tuple(x) for x in con.sql(q.oracle_sql()).project(", ".join(cols)).fetchall()), key=by)
+    got = sorted((tuple(x[c] for c in cols) for x in q.judge(docs, labels).collect()), key=by)
+    assert got == want and len({x[-1] for x in got}) > 1
+
+
 def test_cutoff_holds_the_risk():
     assert q.cutoff({0: 50}, 0.02, 0.01) is None  # too few labels
     level = q.cutoff({0: 970, 300: 20, 900: 10}, 0.05, 0.01)
