@@ -21,22 +21,37 @@ _MIX_B = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is configured."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where it is unset, a local master, whose executors are in the driver's own process, gets a temporary one; with any
+    other master that is an error, as executors would write to their own disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df once to the shared folder and returns the written table: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
+    """Writes df once to the shared folder and returns the written table: cuts lineage, survives lost executors.
+
+    The table goes when the application's JVM ends; nothing tells earlier that no plan reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Options for tables with large binary values: row groups that a reader can hold, and no attempt at a dictionary.
+LARGE_VALUES = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

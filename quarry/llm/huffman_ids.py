@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextSlice, materialise, per_text
+from .common import LARGE_VALUES, TextSlice, materialise, per_text
 from .units import ShortKeys
 
 LONGEST = 18
@@ -427,4 +427,4 @@ def store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", tex
     tokens = tokenise(named, tokenizer, end_id, key, text)
     tokens = materialise(tokens, "ids", "zstd")
     lengths = code_lengths(id_counts(tokens, width, size))
-    return materialise(write_files(tokens, lengths, width, key), "files", "uncompressed")
+    return materialise(write_files(tokens, lengths, width, key), "files", "uncompressed", **LARGE_VALUES)

@@ -35,7 +35,32 @@ def test_named_counts(odd_docs, no_docs, tok, block):
     assert t.named_counts(no_docs, ranks, pattern, 50256).collect() == []
 
 
+def test_places_of_named_counts(odd_docs, tok):
+    # Brute force from the written blocks: start and nth lead to each document's own ids.
+    import public_tokenizers
+
+    ranks, pattern = tok("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = t._encoding(ranks, pattern)
+    files: dict = {}
+    for r in t.write_flat(odd_docs, ranks, pattern, 50256).orderBy("shard", "block").collect():
+        files.setdefault(r["shard"], []).append(np.frombuffer(r["payload"], "<u4"))
+    texts = {r["doc_id"]: r["text"] or "" for r in odd_docs.collect()}
+    rows = t.named_counts(odd_docs, ranks, pattern, 50256).collect()
+    for r in rows:
+        ids = np.concatenate(files[r["shard"]])
+        assert ids[r["start"] : r["start"] + r["n_tokens"]].tolist() == enc.encode_ordinary(texts[r["doc_id"]])
+        assert ids[r["start"] + r["n_tokens"]] == 50256 and (ids[: r["start"]] == 50256).sum() == r["nth"]
+
+
 def test_raw_files(spark, tmp_path):
     np.array([1, 2, 9, 9, 3, 9, 4], "<u4").tofile(tmp_path / "a.bin")
-    rows = t.count_tokens(t.read_raw(spark, str(tmp_path)), 9).orderBy("nth").collect()
-    assert [(r["start"], r["n_tokens"], r["finished"]) for r in rows] == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 1, False)]
+    for block in (1, 2, 3, 100):
+        rows = t.count_tokens(t.read_raw(spark, str(tmp_path), block_ids=block), 9).orderBy("nth").collect()
+        assert [(r["start"], r["n_tokens"], r["finished"]) for r in rows] == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 1, False)]
+    (tmp_path / "empty.bin").write_bytes(b"")
+    np.array([9] * 5, "<u4").tofile(tmp_path / "b.bin")
+    assert t.count_tokens(t.read_raw(spark, str(tmp_path), block_ids=2), 9).count() == 9
+    assert t.read_raw(spark, str(tmp_path), block_ids=2).count() == 7
+    (tmp_path / "torn.bin").write_bytes(b"12345")
+    with pytest.raises(ValueError, match="whole ids"):
+        t.read_raw(spark, str(tmp_path))
