@@ -52,6 +52,32 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy", **options
 LARGE_VALUES = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 
 
+#: Keys that a broadcast of spread_join() holds at most, and the fewest rows of such a key.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined to unique, which has one row a key and says in `n` how many rows have it; n itself goes.
+
+    total: the number of rows, or more. A key of more than total / HOT_KEYS rows (HOT_ROWS at least) is taken from a
+    broadcast, which so holds HOT_KEYS keys at most; its rows stay spread, so that no task gets all of them. how is inner
+    or left. Columns of both must differ but for the key. A null key joins with nothing.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    found = [c for c in unique.columns if c not in (*on, "n")]
+    unique = unique.withColumn("_there", F.lit(True))
+    hot = F.broadcast(unique.where(F.col("n") > limit).drop("n").withColumnsRenamed({c: f"_hot_{c}" for c in [*found, "_there"]}))
+    first = rows.join(hot, on, "left")
+    known = F.coalesce("_hot__there", F.lit(False))
+    # Those that are served get no key here, but a number that deals them out and meets nothing.
+    first = first.withColumns({"_side": F.when(known, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")), **{f"_on_{c}": F.when(~known, F.col(c)) for c in on}})
+    cold = unique.where(F.col("n") <= limit).drop("n").withColumnsRenamed({c: f"_on_{c}" for c in on}).withColumn("_side", F.lit(-1).cast("long"))
+    both = first.join(cold, ["_side", *(f"_on_{c}" for c in on)], "left")
+    if how == "inner":
+        both = both.where(known | F.col("_there").isNotNull())
+    return both.select(*rows.columns, *[F.when(known, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in found])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,9 @@ Each document's distinct word shingles give MinHash samples. Groups of samples a
 candidates meet; parity bitmaps of all samples (odd sketches) estimate the similarity of candidates from the
 population count of an XOR; what may be linked is confirmed on the full sets.
 
-With 36 bands of 5 samples a pair at the threshold of 0.8 fails to meet with a probability below 1e-6.
+With 36 bands of 5 samples a pair at the threshold of 0.8 fails to meet with a probability below 1e-6. The sketches'
+bounds lose a link only if they take one of its ends for close to the leader and the other for far from it: of a pair
+at the threshold that lies as badly as the distances allow, with a probability of 1.3e-4 in each of its buckets.
 
 Members of a band's bucket are compared with its leader first. All links of one that the sketch puts close to it lead
 to members not too far from it, as Jaccard's distance is a metric: these form the leader's canopy. A leader's canopy is
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, TextSlice, materialise, mix, per_text, shingle_hashes, word_hashes, words
+from .common import LOWER, TextSlice, materialise, mix, per_text, shingle_hashes, spread_join, word_hashes, words
 from .graph import components
 
 BANDS, ROWS, BITS = 36, 5, 512
@@ -32,8 +34,9 @@ _MUL = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.u
 _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SALT = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 _ROWS_AT_ONCE = 2048
-#: Documents of a canopy that are compared in one task, about; a hash deals them out.
-BLOCK = 512
+#: What is compared in one task, about: so many documents, of which one counts once more for each WEIGHT shingles; a
+#: hash deals them out.
+BLOCK, WEIGHT = 512, 4096
 _COLUMNS = 4096
 
 
@@ -153,16 +156,20 @@ def item_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return per_text(docs, ["node"], "text", "items array<long>", work)
 
 
-def _meet(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The canopies (leader, node) of the leaders of all buckets, leaders included, and the rows of members
-    (bucket, node, sketch) that aren't close to their leader, so that their links may lie outside its canopy."""
+def _meet(keyed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The canopies (leader, node, weight) of the leaders of all buckets, leaders included, and the rows (bucket, node,
+    weight) of keyed (bucket, node, sketch, weight) that aren't close to their leader, so that their links may lie
+    outside its canopy. Buckets of one node are left out."""
     step = 1 - percent / 100
-    tight, loose = most_odd_bits(1 - 2 * step + 0.05), most_odd_bits(max(1 - 3 * step - 0.15, 0.05))
+    tight, loose = most_odd_bits(1 - 2 * step + 0.05), most_odd_bits(max(1 - 3 * step - 0.25, 0.05))
     odd = F.expr(" + ".join(f"bit_count(sketch[{i}] ^ s.sketch[{i}])" for i in range(BITS // 64)))
-    leaders = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "sketch")).alias("s"))
-    met = materialise(members.join(leaders, "bucket").select("bucket", "node", F.col("s.node").alias("leader"), odd.alias("odd")), "met")
-    groups = met.where(f"odd <= {loose}").select("leader", "node").distinct()  # a leader is close to itself
-    return materialise(groups, "canopies"), met.where(f"odd > {tight}").select("bucket", "node")
+    leaders = keyed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "sketch")).alias("s"), F.max("node").alias("most"), F.min("node").alias("least"), F.count("*").alias("n"))
+    leaders = materialise(leaders.where("least < most").select("bucket", "s", "n"), "leaders")
+    rows = leaders.agg(F.sum("n")).first()[0] or 0
+    met = spread_join(keyed, leaders, ["bucket"], rows)
+    met = materialise(met.select("bucket", "node", "weight", F.col("s.node").alias("leader"), odd.alias("odd")), "met")
+    groups = met.where(f"odd <= {loose}").select("leader", "node", "weight").distinct()  # a leader is close to itself
+    return materialise(groups, "canopies"), met.where(f"odd > {tight}").select("bucket", "node", "weight")
 
 
 def _refined(parts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,22 +187,24 @@ def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _confirmed(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """parts (node, component), with all joined that is linked within a group of groups (part, node).
+    """parts (node, component), with all joined that is linked within a group of groups (part, node, weight).
 
-    A part of up to about BLOCK members is compared in one task. A larger one is dealt into blocks; then what isn't in
-    its largest component yet is compared with all of it, block by block.
+    A part of up to about BLOCK is compared in one task. A larger one is dealt into blocks; then what isn't in its
+    largest component yet is compared with all of it, block by block.
     """
     schema = "a long, b long"
-    sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    placed = groups.join(sizes, "part").select("part", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
+    sizes = groups.groupBy("part").agg(F.ceil(F.sum("weight") / BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
+    placed = spread_join(groups, sizes, ["part"], rows).select("part", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
     first = _labelled(placed, parts).join(sets, "node").select("part", "block", "side", "label", "items")
     parts = _refined(parts, materialise(first.groupBy("part", "block").applyInArrow(_linker(percent), schema).distinct(), "links"))
-    large = materialise(_labelled(groups.join(sizes.where("blocks > 1").select("part"), "part", "left_semi"), parts), "large")
+    large = materialise(_labelled(spread_join(groups, sizes.where("blocks > 1").select("part", "n"), ["part"], rows), parts), "large")
     if large.isEmpty():
         return parts
-    core = large.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("core"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("out"))
-    core = core.where("out > 0").select("part", "core", F.ceil(F.col("n") / BLOCK).alias("wide"), F.ceil(F.col("out") / BLOCK).alias("high"))
-    known = large.join(core, "part")
+    by_label = large.groupBy("part", "label").agg(F.count("*").alias("count"), F.sum("weight").alias("weight"))
+    core = by_label.groupBy("part").agg(F.max_by(F.struct("label", "weight"), F.struct("count", "label")).alias("c"), F.sum("weight").alias("all"), F.sum("count").alias("n"), F.count("*").alias("labels"))
+    core = core.where("labels > 1").select("part", F.col("c.label").alias("core"), F.ceil(F.col("all") / BLOCK).alias("wide"), F.ceil((F.col("all") - F.col("c.weight")) / BLOCK).alias("high"), "n")
+    known = spread_join(large, core, ["part"], rows)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     out = known.where("label != core").select("part", spot("high").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"), "node", "label")
@@ -204,17 +213,18 @@ def _confirmed(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: in
     return _refined(parts, materialise(second.groupBy("part", "i", "j").applyInArrow(_linker(percent), schema).distinct(), "links"))
 
 
-def _components(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The components (node, component) of what is linked among members (bucket, node, sketch); texts: (node, text)."""
-    groups, far = _meet(members, percent)
+def _components(keyed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The components (node, component) of what is linked among keyed (bucket, node, sketch, weight); texts: (node, text)."""
+    groups, far = _meet(keyed, percent)
     wanted = groups.select("node").union(groups.select("leader")).union(far.select("node")).distinct()
     sets = materialise(item_sets(texts.where("text is not null").join(wanted, "node", "left_semi"), shingle).distinct(), "sets")
-    none = members.sparkSession.createDataFrame([], "node long, component long")
+    none = keyed.sparkSession.createDataFrame([], "node long, component long")
     parts = _confirmed(groups.withColumnRenamed("leader", "part"), none, sets, percent)
     # Those far from their leader are compared with each other, in buckets where that can still join components.
     rest = materialise(_labelled(far, parts), "far")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
-    rest = materialise(rest.join(mixed, "bucket", "left_semi").select(F.col("bucket").alias("part"), "node"), "far")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "n")
+    mixed = materialise(mixed, "mixed")
+    rest = materialise(spread_join(rest, mixed, ["bucket"], mixed.agg(F.sum("n")).first()[0] or 0).select(F.col("bucket").alias("part"), "node", "weight"), "far")
     return _confirmed(rest, parts, sets, percent)
 
 
@@ -233,18 +243,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     named = docs.select(F.col(f"`{key}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
     sig = materialise(signatures(named, shingle, "node"), "signatures")
     same = ["set_a", "set_b", "n_shingles"]
-    classes = sig.where("n_shingles > 0 and node is not null").groupBy(*same).agg(F.min("node").alias("rep"))
+    classes = sig.where("n_shingles > 0 and node is not null").groupBy(*same).agg(F.min("node").alias("rep"), F.count("*").alias("n"))
     lead = F.col("node") == F.col("rep")
     # Only the class's first member goes on, so only its keys are kept.
     rows = materialise(
-        sig.join(classes, same, "left").select(
+        spread_join(sig, classes, same, sig.count(), "left").select(
             "node", "n_shingles", F.when(F.col("node").isNotNull(), F.col("rep")).alias("rep"), F.when(lead, F.col("bands")).alias("bands"), F.when(lead, F.col("sketch")).alias("sketch")
         ),
         "classes",
     )
-    keyed = rows.where("bands is not null").select("node", "sketch", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    parts = _components(materialise(keyed.join(shared, "bucket"), "members"), named, shingle, percent).withColumnRenamed("node", "rep")
+    weight = (1 + F.floor(F.col("n_shingles") / WEIGHT)).alias("weight")
+    keyed = rows.where("bands is not null").select("node", "sketch", weight, F.explode("bands").alias("bucket"))
+    parts = _components(keyed, named, shingle, percent).withColumnRenamed("node", "rep")
     found = rows.select("node", "n_shingles", "rep").join(parts, "rep", "left")
     component = F.coalesce("component", "rep", "node")
     return found.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), (F.col("node").isNull() | (F.col("node") == component)).alias("kept"))

@@ -76,3 +76,24 @@ def test_shared_counts():
     sets = [np.unique(r.integers(0, 9000, n)) for n in (0, 1, 50, 5000, 7000)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[1:]]
     assert m.shared_counts(sets[1:], sets).tolist() == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, monkeypatch, how):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = spark.createDataFrame([(i, i % 7 if i % 2 else 3, i % 3) for i in range(300)] + [(999, None, 0)], "v long, a long, b long")
+    unique = rows.where("a is not null and a != 5").groupBy("a", "b").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    assert unique.where("n > 20").count() and unique.where("n <= 20").count()
+    want = sorted(map(tuple, rows.join(unique.drop("n"), ["a", "b"], how).select("v", "a", "b", "total").na.fill(-1).collect()))
+    got = common.spread_join(rows, unique, ["a", "b"], 300, how)
+    assert got.columns == ["v", "a", "b", "total"] and sorted(map(tuple, got.na.fill(-1).collect())) == want
+
+
+def test_very_long_texts_take_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "WEIGHT", 10)
+    docs = dict(enumerate(near_copies(40, words(200, 8), 25, 9) + near_copies(10, words(90, 10), 9, 11)))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert found(m.near_duplicates(df, 2)) == brute.components(docs, 2)
