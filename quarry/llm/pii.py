@@ -1,8 +1,9 @@
 """Personal data: plain patterns, and offset-preserving deobfuscation for what is disguised.
 
-Three transducers rewrite a text: look-alike characters become ASCII, spelled digits become digits, and
-written-out or bracketed "at" and "dot" become @ and full stops. Each keeps, for every character that it writes, the
-source characters that it stands for. The patterns run on the rewritten text, and what they find there is mapped back.
+Four transducers rewrite a text: look-alike characters become ASCII, letters set apart around an @ are drawn together,
+spelled digits become digits, and written-out or bracketed "at" and "dot" become @ and full stops. Each keeps the pieces
+that it wrote anew with the source characters that they stand for. The patterns run on the rewritten text, and what
+they find there is mapped back through the pieces.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,40 +107,82 @@ def _ascii_of(ch: str) -> str | None:
     return _known[ch]
 
 
-# Names of digits.
+# Names of digits in English, French, German and Spanish.
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NAME = "|".join(_NAMES)
-_UNIT = re.compile(rf"(?i)\b(?:{_NAME}|plus)\b|[0-9]+")
+_NAMES |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
+_NAMES |= {"null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+_NAMES |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+# Names of the signs. Of those of @ only the first is a common word too.
+_PLUS, _DOTS, _ATS = ("plus",), ("dot", "punkt", "point", "punto"), ("at", "arroba", "arobase")
+# What written addresses end in.
+_TOP = frozenset(
+    "com org net edu gov mil int info biz name pro io app dev ai tv uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg hr si se no dk fi is ee lv lt ru ua tr il in cn jp kr hk tw sg br mx ar cl co pe za eu".split()
+)
+# Common words that stand before "at" in prose.
+_BEFORE_AT = frozenset(
+    "a all am an and any are arrive arrived as available back be been begin begins best both but came close come comes day down each early eat even ever far find fine first found get good great had has have he held her here him his hosted how i "
+    "in is it its just keep last later least left line listed live lives located look looked looking looks made me meet meeting meets met more most much new next nice noon not now of off on once one online only open or our out over page please point "
+    "posted published read right sat see she shop shown shows sit site sits so soon staff start started starts stay still stop store that the them then there these they this those time today tomorrow tonight up us visit visited was we website welcome "
+    "well went were what when where which who will with work worked working works yesterday yet you your".split()
+)
+_NAME = "|".join(sorted(_NAMES, key=len, reverse=True))
+_UNIT = re.compile(rf"(?i)\b(?:{_NAME}|{'|'.join(_PLUS)})\b|[0-9]+")
 _GAP = re.compile(r"[\s,-]+")
-#: The fewest digits of any identifier.
-_LEAST_DIGITS = 4
+#: A name beside another name, a sign's name or a digit: without one no number is spelled.
+_SPELLED = re.compile(rf"(?i)\b(?:{_NAME})[\s,-]+(?:(?:{_NAME}|{'|'.join((*_PLUS, *_DOTS))})\b|[0-9])|[0-9][\s,-]+(?:{_NAME})\b|\b(?:{'|'.join(_PLUS)})\s+(?:(?:{_NAME})\b|[0-9])")
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
-_DOT_SIGN = rf"(?:\s*{_OPEN}(?:dot|\.){_CLOSE}\s*|\s+dot\s+)"
-_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:\s*{_OPEN}(?:at|@){_CLOSE}\s*(?=[A-Za-z0-9-])|\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT_SIGN}[A-Za-z0-9]))")
+_DOT_SIGN = rf"(?:\s*{_OPEN}(?:{'|'.join(_DOTS)}|\.){_CLOSE}\s*|\s+(?:{'|'.join(_DOTS)})\s+)"
+_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT_SIGN})[A-Za-z0-9-]+)+"
+_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:\s*{_OPEN}(?:{'|'.join(_ATS)}|@){_CLOSE}\s*(?=[A-Za-z0-9-])|\s+(?:{'|'.join(_ATS)})\s+(?={_HOST}))")
+_HOST_HERE = re.compile(rf"(?i){_HOST}")
+_LAST_LABEL = re.compile(r"[A-Za-z0-9-]+\Z")
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT_SIGN}(?=[A-Za-z0-9])")
-_BRACKETED = re.compile(rf"(?i){_OPEN}(?:at|@|dot|\.){_CLOSE}")
+_SPACED_DOT = re.compile(r"(?<=[0-9])[ \t]+\.[ \t]+(?=[0-9])")
+_SIGN_NAME = re.compile(rf"(?i)\s(?:{'|'.join((*_DOTS, *_ATS))})\s|{_OPEN}(?:{'|'.join((*_DOTS, *_ATS))}|@|\.){_CLOSE}|[0-9][ \t]+\.[ \t]+[0-9]")
+#: The characters looked at before "at" for the word there.
+_WORD_BEFORE = 80
 
 
 class Rewritten:
-    """A text with, for every character, the source span that it stands for."""
+    """A text with the source that it stands for: of each rewriting the pieces that it wrote anew, and what they replaced."""
 
     def __init__(self, source: str):
-        self.text, self.start, self.end = source, list(range(len(source))), list(range(1, len(source) + 1))
+        self.text = source
+        self._levels: list[tuple[array, array, array, array]] = []
 
-    def replace(self, edits: list[tuple[int, int, str]]) -> Rewritten:
+    def replace(self, edits: Iterable[tuple[int, int, str]]) -> Rewritten:
         """Puts each text in the place of [from, to); edits come in order and don't overlap."""
-        if not edits:
-            return self
-        text, start, end, done = [], [], [], 0
+        pieces, done, at = [], 0, 0
+        level = array("q"), array("q"), array("q"), array("q")
         for a, b, new in edits:
-            text += (self.text[done:a], new)
-            start += self.start[done:a] + [self.start[a]] * len(new)
-            end += self.end[done:a] + [self.end[b - 1]] * len(new)
-            done = b
-        self.text = "".join([*text, self.text[done:]])
-        self.start, self.end = start + self.start[done:], end + self.end[done:]
+            pieces += (self.text[done:a], new)
+            at += a - done
+            for column, value in zip(level, (at, at + len(new), a, b), strict=True):
+                column.append(value)
+            at, done = at + len(new), b
+        if level[0]:
+            self.text = "".join([*pieces, self.text[done:]])
+            self._levels.append(level)
         return self
 
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of [start, end) of the text, which holds a character at least."""
+        first, last = start, end - 1
+        for begins, ends, froms, tos in reversed(self._levels):
+            first, last = self._below(first, begins, ends, froms, tos)[0], self._below(last, begins, ends, froms, tos)[1]
+        return first, last + 1
+
+    @staticmethod
+    def _below(at: int, begins: array, ends: array, froms: array, tos: array) -> tuple[int, int]:
+        """The first and last character that a character stands for one level below."""
+        j = bisect_right(begins, at) - 1
+        if j < 0:
+            return at, at
+        if at < ends[j]:
+            return froms[j], tos[j] - 1
+        return tos[j] + at - ends[j], tos[j] + at - ends[j]
+
 
 def _foreign(t: str) -> set[str]:
     """The characters outside ASCII that stand for ASCII ones or for none."""
@@ -144,8 +190,34 @@ def _foreign(t: str) -> set[str]:
 
 
 def characters(r: Rewritten) -> Rewritten:
+    """Look-alikes become the one ASCII character that they stand for; characters without width go."""
     some = _foreign(r.text)
-    return r.replace([(i, i + 1, _known[ch]) for i, ch in enumerate(r.text) if ch in some]) if some else r
+    if not some:
+        return r
+    unseen = "".join(ch for ch in some if not _known[ch])
+    r.text = r.text.translate({ord(ch): _known[ch] for ch in some if _known[ch]})
+    return r.replace((m.start(), m.end(), "") for m in re.finditer(f"[{re.escape(unseen)}]", r.text)) if unseen else r
+
+
+def spaced_letters(r: Rewritten) -> Rewritten:
+    """Of an @ with single characters set apart by single spaces on both sides, the spaces go."""
+    t, edits, free, at = r.text, [], 0, r.text.find(" @ ")
+    while at >= 0:
+        start, end = at, at + 3
+        while start - 1 > free and t[start - 1] in _LOCAL and (start - 2 < free or t[start - 2] == " "):
+            start -= 2
+        while end < len(t) and t[end] in _LOCAL and not t[end + 1 : end + 2].isalnum():
+            end += 1
+            if t[end : end + 1] != " ":
+                break
+            end += 1
+        start, end = max(start + 1, free), end - (t[end - 1] == " ")
+        # Some letters on both sides, or it is an @ between words.
+        if at - start >= 3 and end - at >= 8:
+            edits += [(i, i + 1, "") for i in range(start, end) if t[i] == " "]
+            free = end
+        at = t.find(" @ ", max(at + 1, free))
+    return r.replace(edits)
 
 
 def spelled_digits(r: Rewritten) -> Rewritten:
@@ -160,7 +232,7 @@ def spelled_digits(r: Rewritten) -> Rewritten:
             if joined and "," not in r.text[end : after.start()]:
                 edits.append((w.start(), after.start(), "+"))
             continue
-        following = joined and not nearby and after[0].lower() != "plus"
+        following = joined and not nearby and after[0].lower() not in _PLUS
         if not digits:
             # What parts two names goes with the first of them.
             edits.append((w.start(), after.start() if following else end, name))
@@ -169,23 +241,35 @@ def spelled_digits(r: Rewritten) -> Rewritten:
     return r.replace(edits)
 
 
+def _addresses(t: str) -> Iterable[tuple[int, int, str]]:
+    """Where "at" is an @: in brackets, or after a word that is a name and before a host with a known ending."""
+    for m in _AT.finditer(t):
+        if not (t[m.start()].isspace() and m[0].strip().isalpha()):
+            yield m.start(), m.end(), "@"
+            continue
+        name = _LOCAL_END.search(t[max(0, m.start() - _WORD_BEFORE) : m.start()])
+        host = _HOST_HERE.match(t, m.end())
+        if name and host and name[0].lower() not in _BEFORE_AT and _LAST_LABEL.search(host[0])[0].lower() in _TOP:
+            yield m.start(), m.end(), "@"
+
+
 def written_signs(r: Rewritten) -> Rewritten:
-    r.replace([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
-    return r.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
+    r.replace(_addresses(r.text))
+    r.replace((m.start(), m.end(), ".") for m in _DOT.finditer(r.text))
+    return r.replace((m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(r.text))
 
 
 def disguised_spans(t: str, plain: list[Span]) -> list[Span]:
     """What only the rewritten text shows, as spans of the source; one that widens a plain span counts."""
-    low, foreign = t.lower(), bool(_foreign(t))
-    # Digits may be spelled in look-alike letters too, so foreign characters always lead on.
-    names = sum(low.count(n) for n in _NAMES)
-    spelled = foreign or "plus" in low or (names and names + len(_DIGIT.findall(t)) >= _LEAST_DIGITS)
-    if not foreign and not spelled and "dot" not in low and not _BRACKETED.search(t):
+    # Digits and signs may be spelled in look-alike letters too, so foreign characters always lead on.
+    foreign = bool(_foreign(t))
+    spelled, apart = foreign or _SPELLED.search(t) is not None, " @ " in t
+    if not foreign and not spelled and not apart and not _SIGN_NAME.search(t):
         return []
     known = {k: [(a, b) for kind, a, b in plain if kind == k] for k in KINDS}
     found, read = set(), {t}
     # Names beside a number may be prose, so the text is read with them and with their digits.
-    for steps in ((characters, written_signs), (characters, spelled_digits, written_signs))[: 2 if spelled else 1]:
+    for steps in ((characters, spaced_letters, written_signs), (characters, spaced_letters, spelled_digits, written_signs))[: 2 if spelled else 1]:
         r = Rewritten(t)
         for step in steps:
             step(r)
@@ -193,7 +277,7 @@ def disguised_spans(t: str, plain: list[Span]) -> list[Span]:
             continue
         read.add(r.text)
         for kind, a, b in plain_spans(r.text):
-            a, b = r.start[a], r.end[b - 1]
+            a, b = r.source(a, b)
             if not any(x <= a and b <= y for x, y in known[kind]):
                 found.add((kind, a, b))
     return sorted(found, key=_place)

@@ -37,14 +37,43 @@ def test_disguises_map_back_to_the_source(text, kind, source):
 
 
 def test_prose_is_left_alone():
-    texts = ["we met at the corner dot dot dot", "look at this: one two three", "Eat at Joe's. He came at noon (at last) and left.", "été à Noël, größer", "at dot com we trust at", "see example.com at night", "Ορθογραφία в тексте"]
+    texts = ["we met at the corner dot dot dot", "look at this: one two three", "Eat at Joe's. He came at noon (at last) and left.", "été à Noël, größer", "at dot com we trust at", "see example.com at night", "look at node dot product now", "meet at noon dot com", "more at example.com today", "we are at home. It is", "version 1. 2. 3. 4", "a @ b and c @ d", "en un point sur deux", "seven point five percent of 1 . 5",
+             "Ορθογραφία в тексте"]
     for t in texts + [" ".join(words(200, i)) for i in range(20)]:
         assert pii.disguised_spans(t, pii.plain_spans(t)) == []
 
 
 def test_rewriting_keeps_offsets():
     r = pii.written_signs(pii.spelled_digits(pii.characters(pii.Rewritten("ａ​b [at] c"))))
-    assert r.text == "ab@c" and [(r.start[i], r.end[i]) for i in range(4)] == [(0, 1), (2, 3), (3, 9), (9, 10)]
+    assert r.text == "ab@c" and [r.source(i, i + 1) for i in range(4)] == [(0, 1), (2, 3), (3, 9), (9, 10)]
+
+
+def test_pieces_equal_offsets_of_each_character():
+    r = random.Random(7)
+    for _ in range(300):
+        text = "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 40)))
+        w, start, end = pii.Rewritten(text), list(range(len(text))), list(range(1, len(text) + 1))
+        for _ in range(3):
+            edits, at = [], 0
+            while (a := at + r.randrange(4)) < len(w.text):
+                b = min(len(w.text), a + r.randrange(1, 4))
+                edits.append((a, b, "xyz"[: r.randrange(4)]))
+                at = b
+            for a, b, new in reversed(edits):
+                start[a:b], end[a:b] = [start[a]] * len(new), [end[b - 1]] * len(new)
+            w.replace(edits)
+        assert len(w.text) == len(start) and all(w.source(i, i + 1) == (start[i], end[i]) for i in range(len(start)))
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = "word – " * 200_000 + "jane [at] corp [dot] org" + " – word" * 200_000
+    tracemalloc.start()
+    found = pii.disguised_spans(text, pii.plain_spans(text))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found) == 1 and most < 30 * len(text)
 
 
 def test_time_grows_with_length():
@@ -76,6 +105,12 @@ def test_odd_input(odd_docs, no_docs):
         ("host ১৯২.168.1.1 up", "ip", "১৯২.168.1.1"),  # Bengali digits
         ("it is jo\u210en@corp.org there", "email", "jo\u210en@corp.org"),
         ("it is v\u2170c@corp.org there", "email", "v\u2170c@corp.org"),
+        ("ask john at example.com for it", "email", "john at example.com"),
+        ("it is j o h n @ c o r p . o r g", "email", "j o h n @ c o r p . o r g"),
+        ("so j.d @ x then j o @ c o . i o, yes", "email", "j o @ c o . i o"),
+        ("host 192 . 168 . 1 . 1 up", "ip", "192 . 168 . 1 . 1"),
+        ("ana arroba correo punto es", "email", "ana arroba correo punto es"),
+        ("rufe plus vier neun drei null acht sieben sechs fünf vier drei zwei an", "phone", "plus vier neun drei null acht sieben sechs fünf vier drei zwei"),
         ("card ４１１１ 1111 1111 1111 one time", "card", "４１１１ 1111 1111 1111"),  # the name is no part of it
     ],
 )
