@@ -260,7 +260,8 @@ def written_signs(r: Rewritten) -> Rewritten:
 
 
 def disguised_spans(t: str, plain: list[Span]) -> list[Span]:
-    """What only the rewritten text shows, as spans of the source; one that widens a plain span counts."""
+    """What only the rewritten text shows, as spans of the source; one that widens a plain span counts, but not by the
+    name of one digit."""
     # Digits and signs may be spelled in look-alike letters too, so foreign characters always lead on.
     foreign = bool(_foreign(t))
     spelled, apart = foreign or _SPELLED.search(t) is not None, " @ " in t
@@ -278,11 +279,17 @@ def disguised_spans(t: str, plain: list[Span]) -> list[Span]:
         read.add(r.text)
         for kind, a, b in plain_spans(r.text):
             a, b = r.source(a, b)
-            if not any(x <= a and b <= y for x, y in known[kind]):
+            if not any(x <= a and b <= y for x, y in known[kind]) and not any(a <= x and y <= b and _by_one_name(t[a:x] + " | " + t[y:b]) for x, y in known[kind]):
                 found.add((kind, a, b))
     return sorted(found, key=_place)
 
 
+def _by_one_name(more: str) -> bool:
+    """Whether what a span has more than a plain one is the name of a single digit, as a word of prose may be."""
+    units = _UNIT.findall(more)
+    return len(units) == 1 and not units[0].isdigit()
+
+
 def _join(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

@@ -43,6 +43,13 @@ def test_prose_is_left_alone():
         assert pii.disguised_spans(t, pii.plain_spans(t)) == []
 
 
+def test_a_number_isnt_widened_by_a_word_of_prose():
+    for t in ("Ring +1 (848) 555-1373 Un homme", "Ring +1 (848) 555-1373 one day", "host 10.1.2.3 six"):
+        assert pii.disguised_spans(t, pii.plain_spans(t)) == []
+    t = "Ring +1 (848) 555-1373 one two, please"
+    assert [t[a:b] for _, a, b in pii.disguised_spans(t, pii.plain_spans(t))] == ["+1 (848) 555-1373 one two"]
+
+
 def test_rewriting_keeps_offsets():
     r = pii.written_signs(pii.spelled_digits(pii.characters(pii.Rewritten("ａ​b [at] c"))))
     assert r.text == "ab@c" and [r.source(i, i + 1) for i in range(4)] == [(0, 1), (2, 3), (3, 9), (9, 10)]
