@@ -260,6 +260,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     return found.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), (F.col("node").isNull() | (F.col("node") == component)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all columns of docs: that with the smallest key, a null key last.
+
+    Groups are those of near_duplicates() over rows, not keys: rows with one key but different texts are told apart, of
+    rows that repeat one stays, and rows with a null key count like others. Rows whose text is null, empty or without
+    words all stay. Of the texts only sets travel; rows are taken out by their numbers.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row = "_" + row
+    # Written once, so that a row keeps its number.
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    found = near_duplicates(numbered, shingle, percent, row, text).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
+    named = found.join(numbered.select(F.col(row).alias("r"), F.col(f"`{key}`").cast("long").alias("k")), "r")
+    named = materialise(named, "named")
+    first = named.groupBy("c").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "r"))["r"].alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first, "first")
+    gone = spread_join(named, first, ["c"], first.agg(F.sum("n")).first()[0] or 0).where("r != first").select(F.col("r").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def oracle_sql(table: str = "documents", percent: int = 80) -> str:
     """The same for two-word shingles in DuckDB, comparing all pairs that share a shingle; doc_id is a key."""
     return f"""

@@ -97,3 +97,14 @@ def test_very_long_texts_take_blocks_of_their_own(spark, monkeypatch):
     docs = dict(enumerate(near_copies(40, words(200, 8), 25, 9) + near_copies(10, words(90, 10), 9, 11)))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert found(m.near_duplicates(df, 2)) == brute.components(docs, 2)
+
+
+def test_one_row_of_each_group_stays(spark, odd_docs, no_docs):
+    a, b = " ".join(words(90, 1)), " ".join(words(90, 2))
+    rows = [(5, a), (5, b), (3, a + " end"), (5, a), (9, b + " end"), (None, b), (None, " ".join(words(50, 3))), (7, None), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as `a.b`", "2 as _row")
+    kept = m.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a + " end"), (5, b), (0, " ".join(words(50, 3))), (7, None), (7, None), (8, "")], key=str)
+    assert m.keep_one(odd_docs).columns == odd_docs.columns and m.keep_one(no_docs).collect() == []
