@@ -15,33 +15,48 @@ from quarry.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with all columns of docs.
+
+    A null or empty text has no words, so it goes. A null lang counts with the languages that are no stratum; null ids and
+    repeated rows are judged like others, each for itself. Empty labels give no cutoffs.
+    """
     return quality_rules.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: five-word shingles, a similarity of 0.8.
+    """One document of each group of near duplicates, the one with the smallest id: five-word shingles, 0.8 or more.
 
-    Of rows with one doc_id one stays; rows with a null doc_id all stay.
+    Rows are told apart by themselves and not by their id: different texts under one id both stay, of repeated rows one
+    does, and null ids count like others, last in their group. Rows without words all stay. All columns of docs stay.
     """
-    dropped = minhash_dedup.near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return named.select(columns).union(docs.where("doc_id is null").select(columns))
+    return minhash_dedup.keep_one(docs, shingle=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item, with all columns of docs.
+
+    A null or empty text holds no item and stays, as do null ids; repeated rows go or stay alike. An empty benchmark
+    takes nothing out.
+    """
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a tag in the place of personal data; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, with a tag in the place of personal data; n_chars, if docs has it, follows the text.
+
+    A null text stays null, with a null n_chars; an empty one stays empty. Repeated rows and null ids pass through, and
+    so do all other columns.
+    """
+    done = pii.redact(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded) of each document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded) of each document.
+
+    A null or empty text has the begin and end ids only. Repeated rows and null ids have a row each. Other columns of
+    docs aren't read.
+    """
     return sentencepiece_bpe.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
