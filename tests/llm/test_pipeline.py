@@ -68,3 +68,14 @@ def test_extra_columns_stay(spark, folder):
         docs = stage(spark, docs, sf)
         assert docs.columns[-5:] == ["found_items", "quality_badness", "redacted", "rep", "a.b"]
     assert docs.count() > 0
+
+
+def test_two_texts_under_one_id(spark, folder):
+    sf, texts = folder
+    rows = [(1, texts[1], "en", "s", 1), (1, texts[5], "en", "s", 1), (1, texts[5], "en", "s", 1), (2, texts[6], None, None, None), (2, None, None, None, None), (2, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted([(1, texts[1]), (1, texts[5]), (2, texts[6])])
+    kept = p.personal_data(spark, p.benchmark_free(spark, p.near_dedup(spark, spark.createDataFrame(rows[3:], "doc_id long, text string, lang string, source string, n_chars long"), sf), sf), sf)
+    assert {(r["text"], r["n_chars"]) for r in kept.collect()} == {(texts[6], len(texts[6])), (None, None), ("", 0)}
