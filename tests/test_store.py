@@ -31,7 +31,7 @@ def test_lifecycle(spark, tmp_path):
     assert [r["chunk_text"] for r in s.chunks().collect()] == ["q"]
     again = Store(spark, f"file://{tmp_path}/store")
     s.compact()
-    assert s.vacuum() > 0
+    assert s.vacuum() == 0 and s.vacuum(older_than=0) > 0
     assert [(r["file_path"], r["file_hash"]) for r in again.catalog().collect()] == [("/a", "h9")]
     assert s.upsert(catalog(spark, ("/it's", "h2", "back")), chunks(spark, ("/it's", "h2", 0, "z"))) == 1
     assert again.catalog().count() == 2
@@ -51,6 +51,104 @@ def test_older_tables_get_the_missing_columns(spark, tmp_path):
     assert {r["element_type"] for r in s.chunks().collect()} == {""}
 
 
+def one(spark, path, h="h", summary="s"):
+    return catalog(spark, (path, h, summary)), chunks(spark, (path, h, 0, f"text of {path}"))
+
+
+def paths(s):
+    return sorted((r["file_path"], r["summary"]) for r in s.catalog().collect())
+
+
+class Between(Store):
+    """A store that lets another writer act right before its commit."""
+
+    act = None
+
+    def _commit(self, *args, **kw):
+        if self.act is not None:
+            act, self.act = self.act, None
+            act()
+        return super()._commit(*args, **kw)
+
+
+def test_two_writers_of_one_path(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    mine, other = Between(spark, root), Store(spark, root)
+    mine.act = lambda: other.upsert(*one(spark, "/a", "h2", "other"))
+    assert mine.upsert(*one(spark, "/a", "h1", "mine")) == 1
+    # The later commit holds, and the path is there once.
+    assert paths(mine) == paths(other) == [("/a", "mine")] and mine.version == 2 and mine.chunks().count() == 1
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    assert s._publish(1, {"folder": "x", "tables": []}) and not s._publish(1, {"folder": "y", "tables": []})
+    assert s._commit_of(1).folder == "x" and s._numbers() == [1]
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/store"
+    with ThreadPoolExecutor(6) as pool:
+        assert list(pool.map(lambda i: Store(spark, root).upsert(*one(spark, f"/{i % 4}", f"h{i}", f"{i}")), range(8))) == [1] * 8
+    s = Store(spark, root)
+    assert len(s.commits()) == 8 and sorted(r["file_path"] for r in s.catalog().collect()) == ["/0", "/1", "/2", "/3"] and s.chunks().count() == 4
+
+
+def test_changes_during_a_compaction_stay(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    mine, other = Between(spark, root), Store(spark, root)
+    other.upsert(*one(spark, "/a"))
+    other.upsert(*one(spark, "/x"))
+
+    def act():
+        other.upsert(*one(spark, "/b"))
+        other.delete(["/x"])
+
+    mine.act = act
+    mine.compact()
+    assert paths(mine) == [("/a", "s"), ("/b", "s")] and sorted(r["file_path"] for r in mine.chunks().collect()) == ["/a", "/b"]
+    mine.compact()
+    assert paths(other) == [("/a", "s"), ("/b", "s")] and len(other.commits()) == 1
+    assert mine.vacuum(older_than=0) == 5 and paths(other) == [("/a", "s"), ("/b", "s")]
+
+
+def test_vacuum_leaves_what_is_being_written(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    mine, other = Between(spark, root), Store(spark, root)
+    other.upsert(*one(spark, "/a"))
+    mine.act = lambda: other.vacuum()
+    assert mine.upsert(*one(spark, "/b")) == 1 and len(paths(other)) == 2
+    # One that is gone all the same is an error and no silent loss.
+    mine.act = lambda: other.vacuum(older_than=0)
+    with pytest.raises(RuntimeError):
+        mine.upsert(*one(spark, "/c"))
+    assert len(paths(other)) == 2
+
+
+def test_a_missing_folder_is_an_error(spark, tmp_path):
+    import shutil
+
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.upsert(*one(spark, "/a"))
+    shutil.rmtree(f"{tmp_path}/store/data/{s.commits()[0].folder}")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        s.catalog().collect()
+
+
+def test_many_changes_are_one_scan_and_compact_themselves(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store", compact_after=4)
+    for i in range(4):
+        s.upsert(*one(spark, f"/{i}"))
+    plan = s._table(s.commits(), "catalog", "file_path string")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and len(s.commits()) == 4
+    s.upsert(*one(spark, "/4"))
+    assert len(s.commits()) == 1 and len(paths(s)) == 5
+    s.delete(["/2"])
+    assert len(paths(s)) == 4 and s.exists("/3", "h")
+
+
 @pytest.fixture(scope="module")
 def indexed(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("watched")
