@@ -290,13 +290,18 @@ def _dealt(docs: DataFrame, shared: object, buckets: int, role: int) -> DataFram
                 for kind, (keys, aux, rows, packed) in enumerate(((*contexts, _packed_classes), (h[at], lengths[at], row[at], _packed))):
                     # A hash of its own, as words that share a class have their lowest bits in common.
                     bucket = (mix(keys + np.uint64(7)) % np.uint64(buckets)).astype(np.int32)
-                    order = np.argsort(bucket, kind="stable")
+                    # Words come again within a slice, so they lie by word, which leaves little of the repeats.
+                    order = np.argsort(bucket, kind="stable") if kind == 0 else np.lexsort((rows, keys, bucket))
                     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     keys, aux, rows = keys[order], aux[order], rows[order]
                     for b in np.flatnonzero(np.diff(ends)).tolist():
                         i = slice(ends[b], ends[b + 1])
-                        steps = np.diff(rows[i], prepend=rows[i.start])  # small but where partitions meet
-                        out.append((kind * buckets + b, role, int(rows[i.start]), _short(keys[i]), packed(aux[i]), _packed(steps)))
+                        if kind == 0:
+                            least, steps, short = int(rows[i.start]), np.diff(rows[i], prepend=rows[i.start]), _short(keys[i])
+                        else:
+                            least = int(rows[i].min())
+                            steps, short = rows[i] - least, pa.compress(_short(keys[i]), "zstd", asbytes=True)
+                        out.append((kind * buckets + b, role, least, short, packed(aux[i]), _packed(steps)))
                 if out:
                     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "role", "first", "keys", "aux", "steps"])
@@ -312,10 +317,13 @@ def _counted_parts(dealt: DataFrame, shared: object, buckets: int) -> DataFrame:
         m = shared.value
         columns = {n: group.column(n).to_pylist() for n in ("keys", "aux", "steps", "first", "role")}
         by_context = group.column("bucket")[0].as_py() < buckets
-        keys = np.concatenate([_long(x) for x in columns["keys"]])
-        aux = np.concatenate([(_unpacked_classes if by_context else _unpacked)(x) for x in columns["aux"]])
-        rows = np.concatenate([np.cumsum(_unpacked(x)) + first for x, first in zip(columns["steps"], columns["first"], strict=True)])
-        role = np.repeat(columns["role"], [len(x) // _KEY_BYTES for x in columns["keys"]])
+        parts = [(_unpacked_classes if by_context else _unpacked)(x) for x in columns["aux"]]
+        sizes, aux = [len(x) for x in parts], np.concatenate(parts)
+        raw = [x if by_context else pa.decompress(x, n * _KEY_BYTES, "zstd", asbytes=True) for x, n in zip(columns["keys"], sizes, strict=True)]
+        keys = np.concatenate([_long(x) for x in raw])
+        steps = [np.cumsum(x) if by_context else x for x in map(_unpacked, columns["steps"])]
+        rows = np.concatenate([x + first for x, first in zip(steps, columns["first"], strict=True)])
+        role = np.repeat(columns["role"], sizes)
         counted, asked = (role & _COUNTED).astype(np.float64), (role & _ASKED) > 0
         gain = (m.of_contexts if by_context else m.of_words)(keys, aux, counted, asked)
         some, back = np.unique(rows[asked], return_inverse=True)
