@@ -69,10 +69,12 @@ def spread_join(rows: DataFrame, unique: DataFrame, on: list[str], total: int, h
     hot = F.broadcast(unique.where(F.col("n") > limit).drop("n").withColumnsRenamed({c: f"_hot_{c}" for c in [*found, "_there"]}))
     first = rows.join(hot, on, "left")
     known = F.coalesce("_hot__there", F.lit(False))
-    # Those that are served get no key here, but a number that deals them out and meets nothing.
-    first = first.withColumns({"_side": F.when(known, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")), **{f"_on_{c}": F.when(~known, F.col(c)) for c in on}})
-    cold = unique.where(F.col("n") <= limit).drop("n").withColumnsRenamed({c: f"_on_{c}" for c in on}).withColumn("_side", F.lit(-1).cast("long"))
-    both = first.join(cold, ["_side", *(f"_on_{c}" for c in on)], "left")
+    # Those that are served get a number for a key, which deals them out and meets nothing. A struct, as an equality with
+    # a constant would be no key of the join.
+    number = F.when(known, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    first = first.withColumn("_on", F.struct(number.alias("side"), *on))
+    cold = unique.where(F.col("n") <= limit).dropna(subset=on).select(F.struct(F.lit(-1).cast("long").alias("side"), *on).alias("_on"), *found, "_there")
+    both = first.join(cold, "_on", "left")
     if how == "inner":
         both = both.where(known | F.col("_there").isNotNull())
     return both.select(*rows.columns, *[F.when(known, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in found])
