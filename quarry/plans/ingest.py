@@ -16,6 +16,7 @@ from ..operators.enrich import Embedder, HashingEmbedder, LanguageModel, Tokeniz
 from ..operators.incremental import candidates, changed, vanished
 from ..operators.store import Store
 from ..schema import CHUNKS
+from ..session import written
 from ..sources.files import empty_files, iso_time, metadata, scan, within_size
 from ..sources.parse import parse
 
@@ -32,8 +33,13 @@ class Indexer:
     model: LanguageModel | None = None
 
     def documents(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(catalog, chunks, failures) of files (path, length, modificationTime, content)."""
-        parsed = parse(metadata(files), self.config.use_structured_parsing)
+        """(catalog, chunks, failures) of files (path, length, modificationTime, content).
+
+        Files are read and parsed once, chunks cut and embedded once: both are written to the scratch folder, from which
+        all three tables follow. The catalog is a plan still, which its one reader computes.
+        """
+        hashed = files if "file_hash" in files.columns else metadata(files)
+        parsed = written(parse(hashed, self.config.use_structured_parsing), "parsed")
         failures = parsed.where("error is not null").select("file_path", "error", F.current_timestamp().alias("failed_at"))
         good = parsed.where("error is null")
         keys = ["file_path", "file_hash"]
@@ -46,7 +52,7 @@ class Indexer:
         names = [x.split()[0] for x in CHUNKS.split(", ")]
         chunks = chunks.select("_key.*", *[x for x in chunks.columns if x != "_key"]).withColumn("embedding", vector)
         filled = [F.coalesce(F.col(n), F.lit("")).alias(n) if n in ("element_type", "section_path", "page_or_sheet", "embedding_text", "html_or_markdown", "extracted_by") else F.col(n).cast("long").alias(n) if n in ("chunk_id", "start_pos", "end_pos", "char_count", "token_count") else F.col(n) for n in names]
-        chunks = chunks.select(*filled)
+        chunks = written(chunks.select(*filled), "chunks")
         totals = chunks.groupBy("file_path").agg(F.count("*").alias("total_chunks"), F.sum("token_count").alias("total_tokens"), F.min_by("chunk_text", "chunk_id").alias("_first"))
         told = describe(good, self.model) if self.model is not None else good.withColumn("_d", described(F.coalesce("text", F.lit("")))).select(*good.columns, "_d.*")
         catalog = told.join(totals, "file_path", "left")
@@ -70,8 +76,7 @@ class Indexer:
         wanted = listed if force else candidates(listed, registry)
         files = within_size(scan(self.spark, folder, extensions).unionByName(empty), self.config.max_file_size_mb).join(wanted.select("path"), "path", "left_semi")
         if not force:
-            hashed = metadata(files)
-            files = changed(hashed, registry).select(files.columns)
+            files = changed(metadata(files), registry)
         catalog, chunks, failures = self.documents(files)
         done = self.store.upsert(catalog, chunks, force)
         gone = 0
@@ -90,4 +95,5 @@ class Indexer:
             raise ValueError(bad["error"])
         if not self.store.upsert(catalog, chunks, force):
             return None
-        return catalog.select("summary", "keywords").first().asDict()
+        # What the store has, as the plan would run the models again.
+        return self.store.catalog().where(F.col("file_path") == files.select("path").first()["path"]).select("summary", "keywords").first().asDict()

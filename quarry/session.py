@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,28 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where the driver and all executors can write; it goes when the application's JVM ends.
+
+    It lies in spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; with any other master
+    that is an error, as executors would write to their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once into scratch() and read from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,26 +51,25 @@ def parse(files: DataFrame, structured: bool = True) -> DataFrame:
     text. error tells why a file has neither; text of a structured document is its elements' texts, parted by blank lines.
     """
     keys = [c for c in files.columns if c != "content"]
-    suffix = suffix_of(F.col("file_name"))
-    binary = files.where(suffix.isin(*STRUCTURED)).withColumn("_suffix", suffix)
-    plain = files.where(~suffix.isin(*STRUCTURED))
     names = [f.name for f in _ELEMENT]
     element = ", ".join(f"{n}:string" for n in names)
+    nothing = {"elements": [], "sheets": [], "text": None, "error": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_parsed(n, s, c or b"", structured) for n, s, c in zip(*(batch.column(c).to_pylist() for c in ("file_name", "_suffix", "content")), strict=True)]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("file_name", "_suffix", "content")), strict=True))
+            made = [_parsed(n, s, c or b"", structured) if s in STRUCTURED else nothing for n, s, c in rows]
+            raw = pa.array([None if s in STRUCTURED else c or b"" for _, s, c in rows], pa.binary())
             cols = [pa.array([m[k] for m in made], t) for k, t in (("elements", pa.list_(_ELEMENT)), ("sheets", _SHEETS), ("text", pa.string()), ("error", pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, "elements", "sheets", "text", "error"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols, raw], names=[*keys, "elements", "sheets", "text", "error", "_raw"])
 
+    # One pass over all files, as each branch of a union would read every file's contents again.
     schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
-    office_rows = binary.mapInArrow(run, f"{schema}, elements array<struct<{element}>>, sheets array<struct<name:string,rows:array<array<string>>>>, text string, error string")
+    kinds = f"elements array<struct<{element}>>, sheets array<struct<name:string,rows:array<array<string>>>>, text string, error string, _raw binary"
+    rows = files.withColumn("_suffix", suffix_of(F.col("file_name"))).mapInArrow(run, f"{schema}, {kinds}")
     made = F.transform("sheets", lambda s: sheet_element(s["name"], s["rows"]))
     as_elements = F.transform(F.filter(made, lambda e: e.isNotNull()), lambda e: F.struct(*(e[n].alias(n) if n in ("element_type", "text", "section_path", "page_or_sheet", "html_or_markdown", "summary") else F.lit("").alias(n) for n in names)))
     every = F.when(F.size("sheets") > 0, as_elements).otherwise(F.col("elements"))
-    joined = F.when(F.size("elements") > 0, F.array_join(F.transform("elements", lambda e: e["text"]), "\n\n")).otherwise(F.col("text"))
+    joined = F.when(F.size("elements") > 0, F.array_join(F.transform("elements", lambda e: e["text"]), "\n\n")).when(F.col("_raw").isNotNull(), decoded(F.col("_raw"))).otherwise(F.col("text"))
     title = F.regexp_replace("file_name", r"\.[^.]+\z", "")
-    office_rows = office_rows.withColumn("elements", every).select(*keys, title.alias("title"), "elements", joined.alias("text"), "error")
-    none = F.array().cast(f"array<struct<{element}>>")
-    plain_rows = plain.select(*keys, title.alias("title"), none.alias("elements"), decoded(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    return office_rows.unionByName(plain_rows)
+    return rows.withColumn("elements", every).select(*keys, title.alias("title"), "elements", joined.alias("text"), "error")
