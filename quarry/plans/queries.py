@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, sheets, text
 from ..operators import catalog, chunk, elements, incremental, knn, store
+from ..session import scratch
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,18 +230,9 @@ def doc_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "d.embedding_text", "d.summary")
 
 
-@_query("""select doc_id, sha256(case when source <> '' then 'Document: ' || source || ' | ' else '' end || 'Section: ' || lang || ' | Type: table | Summary: ' || n_chars || ' | ' || left(text, 2000)) as digest,
-    coalesce(nullif(case when lang = 'en' then '' else lang end, ''), nullif(source, ''), left(text, 20), '') as input from documents""")
-def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = F.concat(F.lit("Summary: "), F.col("n_chars").cast("string"))
-    rich = text.embedding_text(F.col("source"), F.col("lang"), F.col("text"), F.lit("table"), extra)
-    first = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(rich, 256).alias("digest"), folds.input_text(first, F.col("source"), F.left("text", F.lit(20))).alias("input"))
-
-
 @_query("""select doc_id, sha256(case when source <> '' then 'Document: ' || source || ' | ' else '' end || 'Section: ' || lang || ' | Type: table | Summary: ' || n_chars || ' | ' || left(text, 2000)) as digest,
     coalesce(nullif(case when lang = 'en' then '' else lang end, ''), nullif(source, ''), text, '') as input from documents""")
-def embedding_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.concat(F.lit("Summary: "), F.col("n_chars").cast("string"))
     rich = text.embedding_text(F.col("source"), F.col("lang"), F.col("text"), F.lit("table"), extra)
     first = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
@@ -260,18 +252,9 @@ def keywords_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", encoded.alias("encoded"), text.keywords_from_json(encoded)[1].alias("second"))
 
 
-@_query("""select conv_id, turn, coalesce('Description: ' || nullif(case when turn = 1 then '' else role end, '') || chr(10), '') || 'Caption: ' || left(text, 30) as figure,
-    case when turn = 0 then '[Visual element — ' || role || ']' else 'Text in image: ' || role end as other from conversations""")
-def figure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none, role = F.lit(""), F.col("role")
-    first = text.figure_text(none, F.when(F.col("turn") == 1, "").otherwise(role), F.left("text", F.lit(30)), none, none)
-    other = text.figure_text(none, none, none, F.when(F.col("turn") == 0, "").otherwise(role), role)
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", first.alias("figure"), other.alias("other"))
-
-
 @_query("""select conv_id, turn, coalesce('Description: ' || nullif(case when turn = 1 then '' else role end, '') || chr(10), '') || 'Caption: ' || text as figure,
     case when turn = 0 then '[Visual element — ' || role || ']' else 'Text in image: ' || role end as other from conversations""")
-def figure_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def figure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     none, role = F.lit(""), F.col("role")
     first = text.figure_text(none, F.when(F.col("turn") == 1, "").otherwise(role), F.col("text"), none, none)
     other = text.figure_text(none, none, none, F.when(F.col("turn") == 0, "").otherwise(role), role)
@@ -330,20 +313,6 @@ def chunk_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_elements(docs, 120, "conv_id")
 
 
-@_query("""with recursive e as (select conv_id, row_number() over (partition by conv_id order by turn, text) as i,
-      case when turn = 0 then 0 when role = 'user' then 1 when length(text) % 3 = 0 then 2 end as level, regexp_replace(left(text, 12), '^\\s+|\\s+$', '', 'g') as t from conversations),
-    f(conv_id, i, stack) as (
-      select conv_id, 0::bigint, []::varchar[] from (select distinct conv_id from e)
-      union all
-      select e.conv_id, e.i, case when level = 0 then [t] when level > 0 then list_concat(stack[1 : level - 1], [t]) else stack end from f join e on e.conv_id = f.conv_id and e.i = f.i + 1)
-    select conv_id, i - 1 as pos, array_to_string(stack, ' > ') as path from f where i > 0""")
-def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _turns(spark, sf_dir)
-    styles = F.transform("elements", lambda e: e["style"])
-    texts = F.transform("elements", lambda e: text.strip(F.left(e["text"], F.lit(12))))
-    return docs.select("conv_id", F.posexplode(folds.breadcrumbs(styles, texts)).alias("pos", "path")).withColumn("pos", F.col("pos").cast("long"))
-
-
 @_query("""with recursive e as (select conv_id, row_number() over (partition by conv_id order by turn, text) as i,
       case when turn = 0 then 0 when role = 'user' then 1 when length(text) % 3 = 0 then 2 end as level, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations),
     f(conv_id, i, stack) as (
@@ -351,7 +320,7 @@ def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
       union all
       select e.conv_id, e.i, case when level = 0 then [t] when level > 0 then list_concat(stack[1 : level - 1], [t]) else stack end from f join e on e.conv_id = f.conv_id and e.i = f.i + 1)
     select conv_id, i - 1 as pos, sha256(array_to_string(stack, ' > ')) as path from f where i > 0""")
-def breadcrumb_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _turns(spark, sf_dir)
     styles = F.transform("elements", lambda e: e["style"])
     texts = F.transform("elements", lambda e: text.strip(e["text"]))
@@ -394,9 +363,12 @@ def unchanged_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.unchanged(*_known(spark, sf_dir), "doc_id", "stamp")
 
 
-@_query(f"with {_KNOWN_SQL} select doc_id, n_chars as stamp from documents d where not exists (select 1 from known k where k.doc_id = d.doc_id and k.stamp = d.n_chars)")
+@_query("""select d.doc_id::varchar as file_path, sha256(text) as file_hash from documents d left join labels l using (doc_id) where l.doc_id is null or quality = 0""")
 def changed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.changed(*_known(spark, sf_dir), "doc_id", "stamp")
+    """By the hash of the whole text; of documents with a quality of 0 another text was registered."""
+    docs = _t(spark, sf_dir, "documents").withColumn("file_path", F.col("doc_id").cast("string"))
+    before = docs.join(_t(spark, sf_dir, "labels"), "doc_id").select("file_path", F.sha2(F.concat("text", F.when(F.col("quality") == 1, "").otherwise("!")), 256).alias("file_hash"))
+    return incremental.changed(docs.select("file_path", F.sha2("text", 256).alias("file_hash")), before)
 
 
 @_query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -410,6 +382,51 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted(_t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), incoming, "doc_id")
 
 
+_STORED_SQL = """changed as (select d.doc_id, text, coalesce(quality, 1) = 0 as again, coalesce(toxic, 0) = 1 as gone from documents d left join labels l using (doc_id)),
+    stored as (select doc_id::varchar as file_path, sha256(text || case when again then '!' else '' end) as file_hash, case when again then 'second' else 'first' end as summary,
+      case when again then 2 else 1 end::bigint as n_chunks, gone from changed)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store with all documents, of which those with a quality of 0 were changed later and the others sent again."""
+    made = store.Store(spark, scratch(spark, "store"))
+    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left").withColumn("again", F.coalesce(F.col("quality") == 0, F.lit(False)))
+    path = F.col("doc_id").cast("string").alias("file_path")
+    first = docs.select(path, F.sha2("text", 256).alias("file_hash"), F.lit("first").alias("summary"), F.col("text").alias("chunk_text"), "again")
+    made.upsert(first, first.withColumn("chunk_id", F.lit(0)))
+    marked = F.concat("text", F.when(F.col("again"), "!").otherwise(""))
+    later = docs.select(path, F.sha2(marked, 256).alias("file_hash"), F.when(F.col("again"), "second").otherwise("unchanged").alias("summary"), marked.alias("chunk_text"))
+    made.upsert(later, later.withColumn("chunk_id", F.explode(F.array(F.lit(0), F.lit(1)))))
+    return made
+
+
+def _held(made: store.Store) -> DataFrame:
+    counts = made.chunks().groupBy("file_path", "file_hash").agg(F.count("*").alias("n_chunks"))
+    return made.catalog().join(counts, ["file_path", "file_hash"]).select("file_path", "file_hash", "summary", "n_chunks")
+
+
+@_query(f"with {_STORED_SQL} select file_path, file_hash, summary, n_chunks from stored")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(_stored(spark, sf_dir))
+
+
+@_query(f"with {_STORED_SQL} select file_path, file_hash, summary, n_chunks from stored where not gone")
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a deletion and a compaction."""
+    made = _stored(spark, sf_dir)
+    made.delete(_t(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("file_path")))
+    made.compact()
+    return _held(made)
+
+
+@_query("""select '/docs/' || source || '/' || doc_id || case when lang = 'en' then '.TXT' else '' end as file_path, doc_id || case when lang = 'en' then '.TXT' else '' end as file_name, n_chars as file_size,
+    case when lang = 'en' then '.txt' else '' end as file_type, strftime(make_timestamp(doc_id * 1500000), '%Y-%m-%dT%H:%M:%S') || case when doc_id % 2 = 1 then '.500000' else '' end as modified_time, sha256(text) as file_hash from documents""")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".TXT").otherwise(""))
+    rows = _t(spark, sf_dir, "documents").select(path.alias("path"), F.col("n_chars").alias("length"), F.timestamp_micros(F.col("doc_id") * 1_500_000).alias("modificationTime"), F.col("text").cast("binary").alias("content"))
+    return files.metadata(rows).select("file_path", "file_name", "file_size", "file_type", "modified_time", "file_hash")
+
+
 @_query("select doc_id, lang from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.without(_t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
@@ -420,22 +437,11 @@ def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.uncovered(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@_query("""select page_or_sheet, source_rank::int as source_rank, seq from (
-    select turn::varchar as page_or_sheet, 0 as source_rank, conv_id as seq from conversations
-    union all select case when page_id % 2 = 0 then ' ' || page_id || ' ' else url end, 1, page_id from pages)
-    order by coalesce(try_cast(trim(page_or_sheet) as int), 0), source_rank, seq, page_or_sheet limit 200""")
-def merge_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _t(spark, sf_dir, "conversations").select(F.col("turn").cast("string").alias("page_or_sheet"), F.col("conv_id").alias("seq"))
-    label = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit(" "))).otherwise(F.col("url"))
-    second = _t(spark, sf_dir, "pages").select(label.alias("page_or_sheet"), F.col("page_id").alias("seq"))
-    return elements.merged(first, second).limit(200).select("page_or_sheet", "source_rank", "seq")  # the first of the order
-
-
 @_query("""select page_or_sheet, source_rank::int as source_rank, seq from (
     select turn::varchar as page_or_sheet, 0 as source_rank, conv_id as seq from conversations
     union all select case when page_id % 2 = 0 then ' ' || page_id || ' ' else url end, 1, page_id from pages)
     order by coalesce(try_cast(trim(page_or_sheet) as int), 0), source_rank, seq, page_or_sheet""")
-def merge_elements_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the merged order."""
     first = _t(spark, sf_dir, "conversations").select(F.col("turn").cast("string").alias("page_or_sheet"), F.col("conv_id").alias("seq"))
     label = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit(" "))).otherwise(F.col("url"))

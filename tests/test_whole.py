@@ -13,7 +13,7 @@ tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @tables
 def test_all_merged_rows_come(spark):
     n = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("conversations", "pages"))
-    assert QUERIES["merge_elements_whole"](spark, DATA).count() == n
+    assert QUERIES["merge_elements"](spark, DATA).count() == n
 
 
 def test_columns_of_any_number(spark):
@@ -34,9 +34,8 @@ def test_columns_of_any_number(spark):
 @tables
 def test_whole_texts_reach_the_operators(spark):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "text")
-    figures = QUERIES["figure_texts_whole"](spark, DATA).join(turns, ["conv_id", "turn"])
+    figures = QUERIES["figure_texts"](spark, DATA).join(turns, ["conv_id", "turn"])
     assert figures.where("endswith(figure, text)").count() == figures.count() > 0
-    assert {"breadcrumb_whole", "embedding_inputs_whole"} <= set(QUERIES)
 
 
 @tables
