@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.folds import input_text
-from ..functions.text import described, or_else
+from ..functions.folds import input_text, split_description
+from ..functions.text import described, or_else, page_number, wants_vision
 from ..operators.chunk import chunk_elements, chunk_text
 from ..operators.enrich import Embedder, HashingEmbedder, LanguageModel, Tokenizer, WordTokenizer, describe, embedding
 from ..operators.incremental import candidates, changed, vanished
 from ..operators.store import Store
 from ..schema import CHUNKS
 from ..session import written
-from ..sources.files import empty_files, iso_time, metadata, scan, within_size
+from ..sources.files import empty_files, iso_time, metadata, scan, suffix_of, within_size
 from ..sources.parse import parse
+from ..sources.pdf import ElementParser, Ocr, by_size, described_pages, pages_of
 
 
 @dataclass
@@ -31,6 +33,9 @@ class Indexer:
     embedder: Embedder = HashingEmbedder()
     tokenizer: Tokenizer = WordTokenizer()
     model: LanguageModel | None = None
+    ocr: Ocr | None = None
+    layout: ElementParser = by_size
+    vision: Callable[[bytes], str] | None = None
 
     def documents(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(catalog, chunks, failures) of files (path, length, modificationTime, content).
@@ -39,7 +44,9 @@ class Indexer:
         all three tables follow. The catalog is a plan still, which its one reader computes.
         """
         hashed = files if "file_hash" in files.columns else metadata(files)
-        parsed = written(parse(hashed, self.config.use_structured_parsing), "parsed")
+        parsed = written(parse(hashed, self.config.use_structured_parsing, self.ocr if self.config.enable_ocr else None, self.layout), "parsed")
+        if self.config.enable_vision_enhancement and self.vision is not None:
+            parsed = written(self._seen(hashed, parsed), "seen")
         failures = parsed.where("error is not null").select("file_path", "error", F.current_timestamp().alias("failed_at"))
         good = parsed.where("error is null")
         keys = ["file_path", "file_hash"]
@@ -63,6 +70,21 @@ class Indexer:
         )
         return catalog, chunks, failures
 
+    def _seen(self, files: DataFrame, parsed: DataFrame) -> DataFrame:
+        """parsed with descriptions of those PDF pages that the settings choose, each behind its page's elements."""
+        keys, c = ["file_path", "file_hash"], self.config
+        pages = pages_of(files.where(suffix_of(F.col("file_name")) == ".pdf"), keys)
+        chosen = pages.where(wants_vision(c.vision_mode, F.col("words"), F.col("width"), F.col("height"), c.vision_word_threshold))
+        told = described_pages(chosen, keys, self.vision).select(*keys, "page", F.posexplode(split_description(F.col("description"), F.col("page"))).alias("part", "e"))
+        fields = [f.name for f in parsed.schema["elements"].dataType.elementType.fields]
+        values = {"element_type": F.lit("vision_description"), "extracted_by": F.lit("vision"), **{n: F.col(f"e.{n}") for n in ("text", "section_path", "page_or_sheet")}}
+        element = F.struct(*[values.get(n, F.lit("")).alias(n) for n in fields])
+        seen = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "part", element.alias("e")))).alias("_seen"))
+        place = lambda rank: lambda e, i: F.struct(page_number(e["page_or_sheet"]).alias("p"), F.lit(rank).alias("r"), i.alias("i"), e.alias("e"))
+        both = F.array_sort(F.concat(F.transform("elements", place(0)), F.transform(F.transform("_seen", lambda x: x["e"]), place(1))))
+        merged = F.when(F.col("_seen").isNull(), F.col("elements")).otherwise(F.transform(both, lambda x: x["e"]))
+        return parsed.join(seen, keys, "left").withColumn("elements", merged).select(parsed.columns)
+
     def index(self, folder: str, force: bool = False, deletions: bool = False) -> dict:
         """Indexes what is new or changed below a folder: first by path and time, without contents, then by hash.
 

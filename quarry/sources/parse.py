@@ -18,15 +18,17 @@ _ELEMENT = pa.struct([(n, pa.string()) for n in ("element_type", "text", "sectio
 _SHEETS = pa.list_(pa.struct([("name", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))
 
 
-def _parsed(name: str, suffix: str, content: bytes, structured: bool) -> dict:
+def _parsed(name: str, suffix: str, content: bytes, structured: bool, ocr: pdf.Ocr | None = None, layout: pdf.ElementParser = pdf.by_size) -> dict:
     """{elements, sheets, text, error} of one office file: a failure of the structured way leads to the flat one."""
     out: dict = {"elements": [], "sheets": [], "text": None, "error": None}
     title = os.path.splitext(name)[0]
     try:
         if structured and suffix in (".docx", ".doc"):
-            out["elements"] = office.docx_elements(content, title)
+            out["elements"] = office.docx_elements(content, title, ocr)
         elif structured and suffix in (".xlsx", ".xls"):
             out["sheets"] = [{"name": n, "rows": r} for n, r in office.xlsx_sheets(content) if any(c.strip() for row in r for c in row)]
+        elif structured and suffix == ".pdf":
+            out["elements"] = pdf.elements(content, layout, ocr)
     except Exception as e:  # any file may be broken in any way; it is reported in its row
         out["error"] = str(e)
     if out["elements"] or out["sheets"]:
@@ -44,10 +46,10 @@ def _parsed(name: str, suffix: str, content: bytes, structured: bool) -> dict:
     return out
 
 
-def parse(files: DataFrame, structured: bool = True) -> DataFrame:
+def parse(files: DataFrame, structured: bool = True, ocr: pdf.Ocr | None = None, layout: pdf.ElementParser = pdf.by_size) -> DataFrame:
     """files (file_path, file_name, content, ...) with title, elements, text, error.
 
-    Office files become elements, or flat text where that fails or is empty; a sheet is one element. All others are
+    Office and PDF files become elements (ocr reads images, layout is the model for pages of PDFs), or flat text where that fails or is empty; a sheet is one element. All others are
     text. error tells why a file has neither; text of a structured document is its elements' texts, parted by blank lines.
     """
     keys = [c for c in files.columns if c != "content"]
@@ -58,7 +60,7 @@ def parse(files: DataFrame, structured: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("file_name", "_suffix", "content")), strict=True))
-            made = [_parsed(n, s, c or b"", structured) if s in STRUCTURED else nothing for n, s, c in rows]
+            made = [_parsed(n, s, c or b"", structured, ocr, layout) if s in STRUCTURED else nothing for n, s, c in rows]
             raw = pa.array([None if s in STRUCTURED else c or b"" for _, s, c in rows], pa.binary())
             cols = [pa.array([m[k] for m in made], t) for k, t in (("elements", pa.list_(_ELEMENT)), ("sheets", _SHEETS), ("text", pa.string()), ("error", pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols, raw], names=[*keys, "elements", "sheets", "text", "error", "_raw"])
