@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy", **options
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def finished_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it a query's shuffle files go as soon as it is done, where Spark otherwise keeps them for a later use."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Options for tables with large binary values: row groups that a reader can hold, and no attempt at a dictionary.
 LARGE_VALUES = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, TextSlice, materialise, mix, per_text, text_slices, word_hashes, words
+from .common import LOWER, TextSlice, finished_shuffles_go, materialise, mix, per_text, text_slices, word_hashes, words
 
 CLASSES, SHARED = 160, 32
 #: Class 0 is the end of a text; then the frequent words; then the shared classes.
@@ -258,7 +258,11 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Fits the network to all tokens of docs. Without any it stays as it was drawn."""
-    named = docs.select(F.col(f"`{text}`").alias(text))
+    with finished_shuffles_go(docs.sparkSession):
+        return _train(docs.select(F.col(f"`{text}`").alias(text)), text)
+
+
+def _train(named: DataFrame, text: str) -> Model:
     found = materialise(vocabulary(named, text), "words")
     frequent = _most_frequent(found)
     classes = Classes(frequent)
