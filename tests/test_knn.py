@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.operators import knn
@@ -54,3 +57,27 @@ def test_bad_arguments(corpus):
         knn.nearest(corpus[0], [1.0], 0)
     with pytest.raises(ValueError):
         knn.nearest(corpus[0], [1.0], 1, "hamming")
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_a_task_holds_tiles_and_not_a_whole_batch(spark, monkeypatch, metric):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((10_000, 4)).astype(np.float32)
+    x[1::2] = x[1]  # copies: the smallest keys first
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 1000)], "query_id long, embedding array<float>")
+    frame, held = type(queries), []
+    plain_map = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: held.append(f) or plain_map(self, f, *a, **b))
+    knn.nearest_batch(spark.createDataFrame([(0, [0.0])], "vec_id long, embedding array<float>"), queries, 3, metric)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(x), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(held[0](iter([batch]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    got = {}
+    for q, k in zip(out["query"], out["key"], strict=True):
+        got.setdefault(q, []).append(k)
+    for q in range(0, 1000, 37):
+        d = plain(x, x[q], metric).round(12)
+        assert sorted(got[q]) == sorted(sorted(range(10_000), key=lambda i: (d[i], i))[:3])
