@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,11 +13,14 @@ from ..functions.text import EMBEDDED_CHARS
 from .enrich import Tokenizer, WordTokenizer
 
 MOST_CHUNKS = 10_001
+#: Chunks, and characters in them, that a task hands on at once.
+OUT_ROWS, OUT_CHARS = 4096, 4_000_000
 #: Where a window may end, best first: before a blank line, else after one of these.
 _BREAKS = (". ", "! ", "? ", "\n")
 STANDALONE = frozenset(("table", "sheet", "figure", "cell_range", "vision_description"))
 _HEADING = re.compile(r"heading_\d\Z|title\Z")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_CHUNK = [(n, pa.int32() if n in ("chunk_id", "start_pos", "end_pos", "char_count", "token_count") else pa.string()) for n in ("chunk_id", "text", "start_pos", "end_pos", "char_count", "token_count", "element_type", "section_path", "page_or_sheet", "embedding_text", "html_or_markdown", "extracted_by")]
 
 
 def char_windows(text: str, size: int, overlap: int, tail: str = "reference") -> Iterator[tuple[int, int]]:
@@ -49,16 +52,29 @@ def char_windows(text: str, size: int, overlap: int, tail: str = "reference") ->
         start = max(end - overlap, start + 1)
 
 
-def _map_texts(docs: DataFrame, keys: list[str], value: str, kind: str, work: Callable[[object], list[dict]], arrow: pa.DataType) -> DataFrame:
-    """keys and, for each row, the array that work gives for its value, one row an entry."""
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + f", entries array<struct<{kind}>>"
+def _map_texts(docs: DataFrame, keys: list[str], value: str, work: Callable[[object], Iterable[dict]], fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """keys and fields, one row for each that work gives for a row's value. A task holds OUT_ROWS of them, or OUT_CHARS."""
+    made = ", ".join(f"{n} {'int' if pa.types.is_int32(t) else 'string'}" for n, t in fields)
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + f", {made}"
+
+    def taken(batch: pa.RecordBatch, held: list[tuple[int, dict]]) -> pa.RecordBatch:
+        at = pa.array([i for i, _ in held], pa.int32())
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array([r[n] for _, r in held], t) for n, t in fields)], names=[*keys, *(n for n, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [work(v) if v is not None else [] for v in batch.column(value).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(made, pa.list_(arrow))], names=[*keys, "entries"])
+            held, chars = [], 0
+            for i, v in enumerate(batch.column(value)):
+                for row in work(v.as_py()) if v.is_valid else ():
+                    held.append((i, row))
+                    chars += sum(len(x) for x in row.values() if isinstance(x, str))
+                    if len(held) >= OUT_ROWS or chars >= OUT_CHARS:
+                        yield taken(batch, held)
+                        held, chars = [], 0
+            if held:
+                yield taken(batch, held)
 
-    return docs.select(*dict.fromkeys([*keys, value])).mapInArrow(run, schema).select(*keys, F.explode("entries").alias("e")).select(*keys, "e.*")
+    return docs.select(*dict.fromkeys([*keys, value])).mapInArrow(run, schema)
 
 
 def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200, tail: str = "reference", key: str = "doc_id", text: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
@@ -70,16 +86,13 @@ def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200, tail: str
     if size < 1 or overlap < 0 or tail not in ("reference", "stop"):
         raise ValueError("size must be positive, overlap not negative, tail reference or stop")
     count = tokenizer or WordTokenizer()
-    fields = pa.struct([("chunk_id", pa.int32()), ("text", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("char_count", pa.int32()), ("token_count", pa.int32())])
 
-    def work(t: str) -> list[dict]:
-        out = []
-        for a, b in char_windows(t, size, overlap, tail):
+    def work(t: str) -> Iterator[dict]:
+        for i, (a, b) in enumerate(char_windows(t, size, overlap, tail)):
             piece = t[a:b].strip()
-            out.append({"chunk_id": len(out), "text": piece, "start_pos": a, "end_pos": b, "char_count": len(piece), "token_count": count.count(piece)})
-        return out
+            yield {"chunk_id": i, "text": piece, "start_pos": a, "end_pos": b, "char_count": len(piece), "token_count": count.count(piece)}
 
-    return _map_texts(docs, [key], text, "chunk_id:int,text:string,start_pos:int,end_pos:int,char_count:int,token_count:int", work, fields)
+    return _map_texts(docs, [key], text, work, _CHUNK[:6])
 
 
 def surroundings(title: str, section: str, text: str, kind: str = "", extra: str = "") -> str:
@@ -145,9 +158,6 @@ def structured_chunks(elements: list[dict], title: str, most: int, count: Callab
     return out
 
 
-_CHUNK = pa.struct([(n, pa.int32() if n in ("chunk_id", "start_pos", "end_pos", "char_count", "token_count") else pa.string()) for n in ("chunk_id", "text", "start_pos", "end_pos", "char_count", "token_count", "element_type", "section_path", "page_or_sheet", "embedding_text", "html_or_markdown", "extracted_by")])
-
-
 def chunk_elements(docs: DataFrame, most: int = 512, key: str = "file_path", title: str = "title", elements: str = "elements", tokenizer: Tokenizer | None = None) -> DataFrame:
     """The chunks (as schema.CHUNK) of documents (key, title, elements), elements an array in document order.
 
@@ -155,6 +165,5 @@ def chunk_elements(docs: DataFrame, most: int = 512, key: str = "file_path", tit
     chunk up to `most` tokens; one that is over it when its parts are joined is split at sentences.
     """
     count = (tokenizer or WordTokenizer()).count
-    fields = ", ".join(f"{f.name}:{'int' if pa.types.is_int32(f.type) else 'string'}" for f in _CHUNK)
     packed = docs.select(key, F.struct(F.col(title).alias("title"), F.col(elements).alias("elements")).alias("doc"))
-    return _map_texts(packed, [key], "doc", fields, lambda d: structured_chunks(d["elements"] or [], d["title"] or "", most, count), _CHUNK)
+    return _map_texts(packed, [key], "doc", lambda d: structured_chunks(d["elements"] or [], d["title"] or "", most, count), _CHUNK)

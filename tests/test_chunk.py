@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from quarry.operators import chunk as c
@@ -77,3 +79,22 @@ def test_stop_runs_to_the_end_of_a_long_text():
     spans = list(c.char_windows(t, 2, 0, "stop"))
     assert len(spans) == 15_000 > c.MOST_CHUNKS and spans[-1] == (29_998, 30_000)
     assert len(list(c.char_windows(t, 2, 0))) == c.MOST_CHUNKS
+
+
+@pytest.mark.parametrize("tail", ["reference", "stop"])
+def test_chunks_leave_a_task_in_parts(spark, monkeypatch, tail):
+    df, held = spark.createDataFrame([], "doc_id long, text string"), []
+    plain_map = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: held.append(f) or plain_map(self, f, *a, **b))
+    c.chunk_text(df, 500, 100, tail)
+    n = 600 if tail == "reference" else 6000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None, "", *("word and more. " * 300 for _ in range(n - 2))])], names=["doc_id", "text"])
+    rows, seen = 0, []
+    tracemalloc.start()
+    for part in held[0](iter([batch])):
+        rows += part.num_rows
+        seen += dict.fromkeys(part.column(0).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert rows == (n - 2) * len(list(c.char_windows("word and more. " * 300, 500, 100, tail))) and sorted(set(seen)) == list(range(2, n))
