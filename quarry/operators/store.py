@@ -136,7 +136,7 @@ class Store:
     def _current(self, commits: list[Commit], name: str, schema: str) -> DataFrame:
         rows = self._table(commits, name, schema)
         if len(commits) > 1:
-            rows = rows.join(self._latest(commits), ["file_path", "_version"], "left_semi")
+            rows = rows.join(_spread(self._latest(commits)), ["file_path", "_version"], "left_semi")
         return rows.drop("_version")
 
     # Reading
@@ -164,7 +164,7 @@ class Store:
         """
         incoming = catalog.where("file_path is not null").groupBy("file_path").agg(F.max_by(F.struct(*_as(catalog, CATALOG)), F.col("file_hash")).alias("s")).select("s.*")
         if not force:
-            incoming = incoming.join(self.registry().select("file_path", "file_hash"), ["file_path", "file_hash"], "left_anti").select(incoming.columns)
+            incoming = incoming.join(_spread(self.registry().select("file_path", "file_hash")), ["file_path", "file_hash"], "left_anti").select(incoming.columns)
         folder = uuid.uuid4().hex
         incoming.write.parquet(f"{self.root}/data/{folder}/catalog")
         written = self.spark.read.schema(CATALOG).parquet(f"{self.root}/data/{folder}/catalog")
@@ -172,7 +172,7 @@ class Store:
         if not changed:
             self._fs.delete(self._path("data", folder), True)
             return 0
-        own = chunks.select(*_as(chunks, CHUNKS)).join(written.select("file_path", "file_hash"), ["file_path", "file_hash"], "left_semi")
+        own = chunks.select(*_as(chunks, CHUNKS)).join(_spread(written.select("file_path", "file_hash")), ["file_path", "file_hash"], "left_semi")
         own.write.parquet(f"{self.root}/data/{folder}/chunks")
         self._commit(folder, ("catalog", "chunks"))
         self._tidy()
@@ -182,7 +182,7 @@ class Store:
         """Takes documents out; how many there were."""
         if isinstance(paths, list):
             paths = self.spark.createDataFrame([(p,) for p in paths], _GONE)
-        there = self._latest(self.commits()).select("file_path").join(paths.select("file_path").distinct(), "file_path", "left_semi")
+        there = self._latest(self.commits()).select("file_path").join(_spread(paths.select("file_path").distinct()), "file_path", "left_semi")
         folder = uuid.uuid4().hex
         there.write.parquet(f"{self.root}/data/{folder}/deleted")
         gone = self.spark.read.schema(_GONE).parquet(f"{self.root}/data/{folder}/deleted").count()
@@ -224,6 +224,14 @@ class Store:
         return gone
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """For the other side of a join: a row a document, which is never gathered in the driver to be broadcast.
+
+    Spark's threshold is for compressed bytes; as a hash table in the driver the same rows take many times as much.
+    """
+    return keys.hint("merge")
+
+
 def _as(df: DataFrame, schema: str) -> list[Column]:
     """The columns of a schema from df, null where it has none."""
     return [(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields]

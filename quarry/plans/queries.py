@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, sheets, text
 from ..operators import catalog, chunk, elements, incremental, knn, store
-from ..session import scratch
+from ..session import scratch, written
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,7 +390,8 @@ _STORED_SQL = """changed as (select d.doc_id, text, coalesce(quality, 1) = 0 as
 def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
     """A store with all documents, of which those with a quality of 0 were changed later and the others sent again."""
     made = store.Store(spark, scratch(spark, "store"))
-    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id", "left").withColumn("again", F.coalesce(F.col("quality") == 0, F.lit(False)))
+    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").hint("merge"), "doc_id", "left")
+    docs = written(docs.select("doc_id", "text", F.coalesce(F.col("quality") == 0, F.lit(False)).alias("again")), "documents")  # joined once
     path = F.col("doc_id").cast("string").alias("file_path")
     first = docs.select(path, F.sha2("text", 256).alias("file_hash"), F.lit("first").alias("summary"), F.col("text").alias("chunk_text"), "again")
     made.upsert(first, first.withColumn("chunk_id", F.lit(0)))
@@ -402,7 +403,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> store.Store:
 
 def _held(made: store.Store) -> DataFrame:
     counts = made.chunks().groupBy("file_path", "file_hash").agg(F.count("*").alias("n_chunks"))
-    return made.catalog().join(counts, ["file_path", "file_hash"]).select("file_path", "file_hash", "summary", "n_chunks")
+    return made.catalog().join(counts.hint("merge"), ["file_path", "file_hash"]).select("file_path", "file_hash", "summary", "n_chunks")
 
 
 @_query(f"with {_STORED_SQL} select file_path, file_hash, summary, n_chunks from stored")

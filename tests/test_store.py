@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,15 @@ def test_empty_statistics(spark, tmp_path):
     s = tools.get_indexing_stats()["stats"]
     assert s["total_documents"] == s["total_chunks"] == s["total_chars"] == 0 and s["file_types"] == {}
     assert tools.search_documents({"query": "x"})["results"] == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["store_upsert", "store_delete"])
+def test_no_key_is_sent_to_the_driver(spark, name):
+    from quarry.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # what is broadcast goes through the driver, and fails
+    try:
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 100
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
