@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quarry.plans.queries import QUERIES
+from quarry.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -31,6 +31,20 @@ def test_columns_of_any_number(spark):
     assert {r[0]: r[1] for r in df.select("n", sheets.column_letter(df["n"])).collect()} == {n: letter(n) for n in ns}
 
 
+def test_column_letters_has_every_part(spark, tmp_path):
+    import duckdb
+
+    keys = [*range(-1, 30), *range(18270, 18290), 20000, 475255, 7199999]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    found = [tuple(r) for r in QUERIES["column_letters"](spark, str(tmp_path)).collect()]
+    assert sorted(k for k, _ in found) == keys
+
+    # The SQL stops before four letters; as far as it goes it has the same.
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert set(con.sql(ORACLES["column_letters"]).fetchall()) <= set(found)
+
+
 @tables
 def test_whole_texts_reach_the_operators(spark):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "text")
