@@ -45,6 +45,14 @@ def test_column_letters_has_every_part(spark, tmp_path):
     assert set(con.sql(ORACLES["column_letters"]).fetchall()) <= set(found)
 
 
+def test_column_letters_keeps_rows_without_key_and_repeated_ones(spark, tmp_path):
+    keys = [None, 7, 7, 18279, 18279, 2**63 - 1]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    found = [tuple(r) for r in QUERIES["column_letters"](spark, str(tmp_path)).collect()]
+    want = [(None, None), (7, "G"), (7, "G"), (18279, "AAAA"), (18279, "AAAA"), (2**63 - 1, "CRPXNLSKVLJFHG")]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 @tables
 def test_whole_texts_reach_the_operators(spark):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "text")
